@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, url_filter
+from barloom.llm import chat_format, decontaminate, exact_dedup, sp_bpe, token_count, url_filter
 from barloom.session import read_table
 
+#: Vocabulary file of the tokenizer operators; found at run time, never copied.
+MODEL = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +21,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def model_path(name: str = MODEL) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_bpe.digest_texts(read_table(spark, sf_dir, "documents"), model_path())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark_exact_duplicates(docs, payload=False)
@@ -34,12 +47,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), model_path())
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op6_decontamination": op6_decontamination,
+        "op7_token_counts": op7_token_counts,
     }
 
 
