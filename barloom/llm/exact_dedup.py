@@ -82,6 +82,9 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .withColumn("__rank", F.struct((-length).alias("n"), F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("h")))
         .select(*names, "text_sha256", "__block", "__mask", "__rank")
     )
+    if not payload:
+        # Keys only (about 100 bytes a row): written once, so that each text is read and hashed once.
+        keyed = durable(keyed, "keys")
     bloom = durable(repeat_filter(keyed.select("__block", "__mask")), "repeat-filter")
     if bloom.count() <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
