@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, sp_bpe, token_count, url_filter
+from barloom.llm import chat_format, decontaminate, exact_dedup, html_extract, quality, sp_bpe, token_count, url_filter
 from barloom.session import read_table
 
 #: Vocabulary file of the tokenizer operators; found at run time, never copied.
@@ -41,6 +41,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.events_from_turns(turns)))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
@@ -51,14 +55,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"), model_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.classify(docs, read_table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
+        "op5_html_extract": op5_html_extract,
         "op6_decontamination": op6_decontamination,
         "op7_token_counts": op7_token_counts,
+        "op8_quality": op8_quality,
     }
 
 
