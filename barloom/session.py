@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,20 @@ def release(df: DataFrame) -> None:
         if "/barloom/" in path.toString() and path.toString().split("/barloom/")[0].endswith(root.split(":", 1)[-1].lstrip("/")):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
             break
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers, once a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_barloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="barloom-"), "barloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("barloom", os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    context._barloom_shipped = True
