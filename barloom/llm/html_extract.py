@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from barloom.session import ship_package
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^>]*+>|<[!?][^>]*+(?:>|\Z)", re.S
 )
@@ -379,4 +381,5 @@ def extract_text(pages: DataFrame, chain: Chain | None = None, html_col: str = "
             texts = [extract(h.as_py() or "", own) for h in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
+    ship_package(pages.sparkSession)
     return pages.select(*keep, html_col).mapInArrow(run, schema)

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import ship_package
+
 #: At most so many positives and so many unlabelled rows are gathered for training.
 SAMPLE = 5_000
 THRESHOLD = 0.3
@@ -113,6 +115,7 @@ def _with_features(docs: DataFrame, columns: list[str], text_col: str) -> DataFr
             x = [features(t.as_buffer().to_pybytes() if t.is_valid else b"").tobytes() for t in b.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(x, pa.binary())], names=schema.names)
 
+    ship_package(docs.sparkSession)
     return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -152,6 +155,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
                 s = model.score(np.stack([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(len(keep))]).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], names=schema.names)
 
+    ship_package(docs.sparkSession)
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, load, splits_at_spaces
+from barloom.session import ship_package
 
 #: Words whose ids a worker keeps (about 400 bytes each).
 CACHE = 300_000
@@ -183,6 +184,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", ids_col: s
             ids = pa.array([c.encode(t or "") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
 
+    ship_package(docs.sparkSession)
     return docs.select(*keep).mapInArrow(run, schema)
 
 
@@ -197,6 +199,7 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", text_col: str =
             texts = pa.array([c.decode(i or ()) for i in b.column(b.schema.get_field_index(ids_col)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, text_col])
 
+    ship_package(df.sparkSession)
     return df.select(*keep).mapInArrow(run, schema)
 
 
@@ -211,4 +214,5 @@ def digest_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

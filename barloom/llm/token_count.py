@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import SPACE, load, splits_at_spaces
+from barloom.session import ship_package
 
 CACHE = 500_000
 CACHED_LENGTH = 64
@@ -109,4 +110,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 counts.append(c.count(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
