@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, html_extract, quality, sp_bpe, token_count, url_filter
+from barloom.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, quality, sp_bpe, token_count, url_filter
 from barloom.session import read_table
 
 #: Vocabulary file of the tokenizer operators; found at run time, never copied.
@@ -61,6 +61,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
+        "op9_ngram_join": op9_ngram_join,
     }
 
 
@@ -80,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op4_chat_format": chat_format.ORACLE,
         "op6_decontamination": decontaminate.ORACLE,
+        "op9_ngram_join": ngram_join.ORACLE,
     }
