@@ -6,6 +6,7 @@ their wire form.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -76,3 +77,26 @@ def load(path: str) -> Vocabulary:
 def splits_at_spaces(pieces: dict[str, int]) -> bool:
     """Whether no piece has a space mark after another character, so that words are independent."""
     return not any(SPACE in p.lstrip(SPACE) for p in pieces)
+
+
+def marks_apart(pieces: dict[str, int]) -> str:
+    """ASCII characters, not letters or digits, that share no piece with any other character.
+
+    Runs of these and runs of others are then independent too; a space mark may stand
+    before either.
+    """
+    marks = {chr(c) for c in range(0x80) if not chr(c).isalnum()}
+    mixed = [set(p.lstrip(SPACE)) for p in pieces]
+    mixed = [p for p in mixed if p & marks and p - marks]
+    while bad := set().union(*(p & marks for p in mixed if p - marks)):
+        marks -= bad
+        mixed = [p for p in (set(p.lstrip(SPACE)) for p in pieces) if p & marks and p - marks]
+    return "".join(sorted(marks))
+
+
+def independent_runs(pieces: dict[str, int]) -> re.Pattern[str]:
+    """Matches the runs of a normalised text that no piece crosses, in order and without gaps."""
+    marks = re.escape(marks_apart(pieces))
+    if not marks:
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    return re.compile(f"{SPACE}*[^{SPACE}{marks}]+|{SPACE}*[{marks}]+|{SPACE}+")

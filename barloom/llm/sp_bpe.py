@@ -12,8 +12,9 @@ remembered.
 Pieces that merging can't produce are left out of the automaton.  Characters that no
 piece covers are single symbols and become byte pieces at the end.
 
-Where no piece has a space mark inside (checked when the model is loaded), words are
-independent and the ids of recent words are kept, up to ``CACHE`` words a worker.
+Where no piece has a space mark inside, or mixes letters with certain marks (both are
+checked when the model is loaded), runs between them are independent and the ids of
+recent runs are kept, up to ``CACHE`` a worker.
 
 A null text is empty and has no ids; texts of any length are encoded whole.
 """
@@ -21,20 +22,20 @@ A null text is empty and has no ids; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, load, splits_at_spaces
+from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, independent_runs, load, splits_at_spaces
 from barloom.session import ship_package
 
 #: Words whose ids a worker keeps (about 400 bytes each).
-CACHE = 300_000
+CACHE = 400_000
 #: Longer words are encoded but not kept.
 CACHED_LENGTH = 64
 
@@ -57,8 +58,9 @@ class BpeCodec:
         known = set(reachable)
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in known), None) for p in reachable}
         self.by_word = splits_at_spaces(self.ids)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.words = independent_runs(self.ids)
+        self.cache: dict[str, tuple[str, str]] = {}
+        self.id_bytes = [self._bytes_of(i) for i in range(len(self.pieces))]
 
     def merge(self, text: str) -> list[str]:
         """Plain merging, best score first and then leftmost; for short texts."""
@@ -78,7 +80,7 @@ class BpeCodec:
         key = (a, b)
         known = self.compatible.get(key)
         if known is None:
-            known = self.merge(a + b) == [a, b]
+            known = not a or self.merge(a + b) == [a, b]
             if len(self.compatible) >= 1_000_000:
                 self.compatible.clear()
             self.compatible[key] = known
@@ -91,19 +93,23 @@ class BpeCodec:
             longest[end + 1 - len(p)] = p
         out: list[str] = []
         failed = bytearray((len(text) >> 3) + 1)
-        at, size, shorter, fits = 0, len(text), self.shorter, self.fits
+        at, size, shorter, compatible = 0, len(text), self.shorter, self.compatible.get
+        last = ""
         while at < size:
             piece: str | None = longest[at] or text[at]
             while True:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits(out[-1], piece)):
-                    out.append(piece)
-                    at = end
-                    break
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = compatible((last, piece))
+                    if fits or (fits is None and self.fits(last, piece)):
+                        out.append(piece)
+                        last, at = piece, end
+                        break
                 piece = shorter.get(piece)
                 if piece is None:
                     failed[at >> 3] |= 1 << (at & 7)
                     piece = out.pop()
+                    last = out[-1] if out else ""
                     at -= len(piece)
         return out
 
@@ -122,37 +128,40 @@ class BpeCodec:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return [int(i) for _, ids, _ in self._by_word(text) for i in ids.split(",")]
+        return [int(i) for ids, _ in self._by_word(text) for i in ids.split(",")]
 
-    def _by_word(self, text: str) -> list[tuple[int, str, str]]:
+    def _by_word(self, text: str) -> list[tuple[str, str]]:
+        """(ids as text, decoded text) of every word."""
         text = self.normalise(text)
         words = self.words.findall(text) if self.by_word else [text] * bool(text)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            found = [e or self._word(w) for e, w in zip(found, words, strict=True)]
+        return found
+
+    def _word(self, word: str) -> tuple[str, str]:
         cache = self.cache
-        out = []
-        for w in words:
-            e = cache.get(w)
-            if e is None:
-                ids = self.piece_ids(self.segment(w))
-                e = (len(ids), ",".join(map(str, ids)), self._joined(ids))
-                if len(w) <= CACHED_LENGTH:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = e
-            out.append(e)
-        return out
+        e = cache.get(word)  # it may have come up earlier in the same text
+        if e is None:
+            ids = self.piece_ids(self.segment(word))
+            e = (",".join(map(str, ids)), self._joined(ids))
+            if len(word) <= CACHED_LENGTH:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[word] = e
+        return e
+
+    def _bytes_of(self, i: int) -> bytes:
+        kind, piece = self.kinds[i], self.pieces[i]
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == UNKNOWN:
+            return " \u2047 ".encode()
+        return b"" if kind == CONTROL else piece.replace(SPACE, " ").encode()
 
     def _joined(self, ids: Iterable[int]) -> str:
         """The text of ids, with the space that encoding put in front."""
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += self.pieces[i].replace(SPACE, " ").encode()
-        return out.decode("utf-8", errors="replace")
+        return b"".join(map(self.id_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
     def decode(self, ids: Iterable[int]) -> str:
         text = self._joined(ids)
@@ -161,11 +170,11 @@ class BpeCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
         words = self._by_word(text)
-        ids = ",".join([w[1] for w in words])
-        decoded = "".join([w[2] for w in words])
+        ids, decoded = ",".join(map(itemgetter(0), words)), "".join(map(itemgetter(1), words))
         if self.dummy_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
+        n = ids.count(",") + 1 if words else 0
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
 @lru_cache(2)

@@ -17,7 +17,6 @@ A null text is empty and has no tokens; texts of any length are counted whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barloom.llm.pieces import SPACE, load, splits_at_spaces
+from barloom.llm.pieces import SPACE, independent_runs, load, splits_at_spaces
 from barloom.session import ship_package
 
 CACHE = 500_000
@@ -47,7 +46,7 @@ class UnigramCounter:
         exact = all(s == int(s) for s in scores.values())
         self.by_word = exact and splits_at_spaces(scores)
         self.dummy_prefix = vocabulary.dummy_prefix
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.words = independent_runs(scores)
         self.cache: dict[str, int] = {}
 
     def viterbi(self, text: str) -> tuple[float, int]:
