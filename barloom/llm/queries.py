@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, quality, sp_bpe, token_count, url_filter
+from barloom.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, quality, sp_bpe, suffix_dedup, token_count, url_filter
 from barloom.session import read_table
 
 #: Vocabulary file of the tokenizer operators; found at run time, never copied.
@@ -66,6 +66,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
         "op9_ngram_join": op9_ngram_join,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
