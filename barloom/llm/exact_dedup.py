@@ -69,13 +69,13 @@ def repeat_filter(keyed: DataFrame) -> DataFrame:
     )
 
 
-def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = True) -> DataFrame:
+def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs`` with ``keep_id, group_size, kept, text_sha256``.
 
-    With ``payload=False`` only the id and those four columns are returned, and no
-    text takes part in any shuffle.
+    With ``payload=False`` only the id, those four columns and the columns ``carry``
+    are returned, and no text takes part in any shuffle.
     """
-    names = [c for c in docs.columns if c not in ADDED] if payload else [id_col]
+    names = [c for c in docs.columns if c not in ADDED] if payload else [id_col, *carry]
     length = F.length(F.coalesce(F.col(text_col), F.lit("")))
     keyed = (
         _keyed(docs, text_col)
@@ -110,8 +110,22 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they had."""
-    return mark_exact_duplicates(docs, id_col, text_col).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns they had.
+
+    Keys are decided first, without the text.  The ranks of the rows that go are then
+    removed by an anti-join; they are broadcast while there are at most
+    ``BROADCAST_BLOCKS`` of them.  Rows identical in every column share a rank: those,
+    if any, are taken out with the others and one of each is put back.
+    """
+    rank = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns], F.lit(3))
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("h"), rank.alias("g")))
+    marked = mark_exact_duplicates(keyed.select(id_col, text_col, "__row"), id_col, text_col, payload=False, carry=("__row",))
+    repeated = marked.where("group_size > 1").groupBy("__row").agg(F.count(F.lit(1)).alias("copies"), F.max("kept").alias("stays")).where("not stays or copies > 1")
+    fate = durable(repeated, "fate")
+    hint = F.broadcast if fate.count() <= BROADCAST_BLOCKS else (lambda x: x)
+    rest = keyed.join(hint(fate), "__row", "left_anti")
+    again = keyed.join(hint(fate.where("stays")), "__row", "left_semi").dropDuplicates(["__row"])
+    return rest.unionByName(again).select(*docs.columns)
 
 
 ORACLE = r"""
