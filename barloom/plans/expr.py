@@ -133,6 +133,39 @@ def stages(roots: Iterable[Node]) -> list[tuple[str, list[Node]]]:
     return rounds
 
 
+def shared_levels(roots: Iterable[Node]) -> Callable[[Iterable[Node], dict[Node, str]], list[list[Node]]]:
+    """Which elementwise nodes, used more than once, should become columns before the given nodes are built; level by level."""
+    uses: dict[Node, int] = {}
+    seen: set[Node] = set()
+
+    def count(n: Node) -> None:
+        uses[n] = uses.get(n, 0) + 1
+        if n not in seen:
+            seen.add(n)
+            for c in n.inputs():
+                count(c)
+
+    for r in roots:
+        count(r)
+    plain = ("field", "const", "neg", "null")
+
+    def plan(nodes: Iterable[Node], known: dict[Node, str]) -> list[list[Node]]:
+        level: dict[Node, int] = {}
+
+        def visit(n: Node) -> int:
+            if n in known or n.op in plain[:2]:
+                return 0
+            if n not in level:
+                deep = max((visit(c) for c in n.inputs()), default=0)
+                level[n] = deep + (uses.get(n, 0) > 1 and n.op not in plain)
+            return level[n]
+
+        top = max((visit(n) for n in nodes), default=0)
+        return [[n for n, k in level.items() if k == i and uses.get(n, 0) > 1 and n.op not in plain] for i in range(1, top + 1)]
+
+    return plan
+
+
 def exchanges(roots: Iterable[Node]) -> int:
     """How many times the layout is set up, the first included."""
     out, last = 0, None
@@ -291,8 +324,17 @@ def _logical(n: Node) -> bool:
 def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """``panel`` (or its columns ``keep``) with one column for each formula."""
     roots = {name: parse(text) for name, text in formulas.items()}
-    s, df = _Spark(), panel
-    for layout, nodes in stages(roots.values()):
+    s, df, before = _Spark(), panel, shared_levels(roots.values())
+
+    def share(df: DataFrame, nodes: Iterable[Node]) -> DataFrame:
+        for level in before(nodes, s.known):
+            names = {n: f"__e{len(s.known) + i}" for i, n in enumerate(level)}
+            df = df.select("*", *[s.elementwise(n).alias(c) for n, c in names.items()])
+            s.known |= names
+        return df
+
+    for _, nodes in stages(roots.values()):
+        df = share(df, [i for n in nodes for i in n.inputs()])
         inputs: dict[Node, str] = {}
         for n in nodes:
             for i in n.inputs():
@@ -303,6 +345,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None
         added = {n: f"__n{len(s.known) + k}" for k, n in enumerate(nodes)}
         df = df.select("*", *[clear(s.window(n, x).cast("double")).alias(added[n]) for n, x in fields])
         s.known |= added
+    df = share(df, roots.values())
     return df.select(*(keep or panel.columns), *[(clear(c.cast("double")) if not _logical(r) else F.coalesce(c, F.lit(False))).alias(name) for name, r in roots.items() for c in [s.elementwise(r)]])
 
 
@@ -417,8 +460,18 @@ class _Sql:
 def to_sql(panel: str, formulas: dict[str, str], keep: str = "code, date") -> str:
     """CTEs (without ``with``) ending in ``result``, over the CTE or table ``panel``."""
     roots = {name: parse(text) for name, text in formulas.items()}
-    s, ctes, last, k = _Sql(), [], panel, 0
+    s, ctes, last, k, before = _Sql(), [], panel, 0, shared_levels(roots.values())
+
+    def share(nodes: Iterable[Node]) -> None:
+        nonlocal last, k
+        for level in before(nodes, s.known):
+            names = {n: f"e{len(s.known) + i}" for i, n in enumerate(level)}
+            ctes.append(f"{panel}_{k} as (select *, {', '.join(f'{s.elementwise(n)} as {c}' for n, c in names.items())} from {last})")
+            last, k = f"{panel}_{k}", k + 1
+            s.known |= names
+
     for _, nodes in stages(roots.values()):
+        share([i for n in nodes for i in n.inputs()])
         inputs: dict[Node, str] = {}
         for n in nodes:
             for i in n.inputs():
@@ -434,6 +487,7 @@ def to_sql(panel: str, formulas: dict[str, str], keep: str = "code, date") -> st
         ctes.append(f"{panel}_{k + 1} as (select * replace ({', '.join(f'({s.clear(f"{c}::double")}) as {c}' for c in added.values())}) from {panel}_{k})")
         last, k = f"{panel}_{k + 1}", k + 2
         s.known |= added
+    share(roots.values())
     outs = ", ".join((s.clear(f"({s.elementwise(r)})::double") if not _logical(r) else f"coalesce({s.elementwise(r)}, false)") + f" as {name}" for name, r in roots.items())
     ctes.append(f"result as (select {keep}, {outs} from {last})")
     return ",\n".join(ctes)
