@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, independent_runs, load, splits_at_spaces
 from barloom.session import ship_package
 
-#: Words whose ids a worker keeps (about 400 bytes each).
-CACHE = 400_000
+#: Runs whose ids a worker keeps, in each of two generations (about 400 bytes each).
+CACHE = 100_000
+#: Pairs of pieces whose compatibility a worker keeps (about 150 bytes each).
+PAIRS = 200_000
 #: Longer words are encoded but not kept.
 CACHED_LENGTH = 64
 
@@ -60,6 +62,7 @@ class BpeCodec:
         self.by_word = splits_at_spaces(self.ids)
         self.words = independent_runs(self.ids)
         self.cache: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         self.id_bytes = [self._bytes_of(i) for i in range(len(self.pieces))]
 
     def merge(self, text: str) -> list[str]:
@@ -81,7 +84,7 @@ class BpeCodec:
         known = self.compatible.get(key)
         if known is None:
             known = not a or self.merge(a + b) == [a, b]
-            if len(self.compatible) >= 1_000_000:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             self.compatible[key] = known
         return known
@@ -140,15 +143,16 @@ class BpeCodec:
         return found
 
     def _word(self, word: str) -> tuple[str, str]:
-        cache = self.cache
-        e = cache.get(word)  # it may have come up earlier in the same text
+        e = self.cache.get(word)  # it may have come up earlier in the same text
         if e is None:
-            ids = self.piece_ids(self.segment(word))
-            e = (",".join(map(str, ids)), self._joined(ids))
+            e = self.older.get(word)
+            if e is None:
+                ids = self.piece_ids(self.segment(word))
+                e = (",".join(map(str, ids)), self._joined(ids))
             if len(word) <= CACHED_LENGTH:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[word] = e
+                if len(self.cache) >= CACHE:
+                    self.older, self.cache = self.cache, {}
+                self.cache[word] = e
         return e
 
     def _bytes_of(self, i: int) -> bytes:

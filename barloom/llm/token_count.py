@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from barloom.llm.pieces import SPACE, independent_runs, load, splits_at_spaces
 from barloom.session import ship_package
 
-CACHE = 500_000
+CACHE = 200_000
 CACHED_LENGTH = 64
 UNKNOWN_PENALTY = 10.0
 
