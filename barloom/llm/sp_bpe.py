@@ -35,7 +35,7 @@ from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, independent_runs,
 from barloom.session import ship_package
 
 #: Runs whose ids a worker keeps, in each of two generations (about 400 bytes each).
-CACHE = 100_000
+CACHE = 150_000
 #: Pairs of pieces whose compatibility a worker keeps (about 150 bytes each).
 PAIRS = 200_000
 #: Longer words are encoded but not kept.
@@ -64,6 +64,9 @@ class BpeCodec:
         self.cache: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
         self.id_bytes = [self._bytes_of(i) for i in range(len(self.pieces))]
+        # What a piece contributes to the two texts that are kept of a run.
+        self.id_text = {p: str(i) for p, i in self.ids.items()}
+        self.plain = {p: self.id_bytes[i].decode("utf-8") for p, i in self.ids.items()}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging, best score first and then leftmost; for short texts."""
@@ -147,8 +150,12 @@ class BpeCodec:
         if e is None:
             e = self.older.get(word)
             if e is None:
-                ids = self.piece_ids(self.segment(word))
-                e = (",".join(map(str, ids)), self._joined(ids))
+                parts = self.segment(word)
+                try:
+                    e = (",".join([self.id_text[p] for p in parts]), "".join([self.plain[p] for p in parts]))
+                except KeyError:  # a character without a piece: byte pieces
+                    ids = self.piece_ids(parts)
+                    e = (",".join(map(str, ids)), self._joined(ids))
             if len(word) <= CACHED_LENGTH:
                 if len(self.cache) >= CACHE:
                     self.older, self.cache = self.cache, {}
