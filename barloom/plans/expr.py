@@ -188,7 +188,7 @@ def finite(x: Column) -> Column:
 
 
 def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf))
+    return F.when(b != 0, F.try_divide(a, b)).when((b == 0) & (a > 0), F.lit(math.inf)).when((b == 0) & (a < 0), F.lit(-math.inf))
 
 
 def safe_ln(x: Column) -> Column:
@@ -375,7 +375,7 @@ class _Sql:
         if op in ("+", "-", "*"):
             return f"({a[0]} {op} {a[1]})"
         if op == "/":
-            return f"(case when {a[1]} <> 0 then {a[0]} / {a[1]} when {a[0]} > 0 then 'inf'::double when {a[0]} < 0 then '-inf'::double end)"
+            return f"(case when {a[1]} <> 0 then {a[0]} / {a[1]} when {a[1]} = 0 and {a[0]} > 0 then 'inf'::double when {a[1]} = 0 and {a[0]} < 0 then '-inf'::double end)"
         if op == "neg":
             return f"(-{a[0]})"
         if op in ("<", ">", "<=", ">=", "==", "!="):

@@ -105,7 +105,7 @@ _DENSE = """
   from (select distinct code from {p}_b) c cross join (select date, row_number() over (order by date) - 1 as ord from (select distinct date from {p}_b)) d
   left join {p}_b b on b.code = c.code and b.date = d.date),
 {p}_c as (select *, amount / nullif(volume, 0) as vwap, last_value(close ignore nulls) over (partition by code order by date rows between unbounded preceding and current row) as held from {p}_d),
-{p} as (select * exclude (held), case when p <> 0 then held / p when held > 0 then 'inf'::double when held < 0 then '-inf'::double end - 1 as returns{ind}
+{p} as (select * exclude (held), case when p <> 0 then held / p when p = 0 and held > 0 then 'inf'::double when p = 0 and held < 0 then '-inf'::double end - 1 as returns{ind}
   from (select *, lag(held) over (partition by code order by date) as p from {p}_c))"""
 
 BRAND_WEEK_SQL = """panel_t as (select p_brand as code, date_trunc('week', l_shipdate)::date as date, l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity as price, l_quantity, l_extendedprice
