@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from barloom.llm.workspace import tidy
 from barloom.session import ship_package
 
 _TOKEN = re.compile(
@@ -382,4 +383,4 @@ def extract_text(pages: DataFrame, chain: Chain | None = None, html_col: str = "
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     ship_package(pages.sparkSession)
-    return pages.select(*keep, html_col).mapInArrow(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(tidy("html_extract", run), schema)

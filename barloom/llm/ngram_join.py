@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.components import connected_components
+from barloom.llm.workspace import settle, tidy
 from barloom.session import durable, ship_package
 
 N = 3
@@ -194,7 +195,7 @@ def search_block(classes: list[bytes], sets: list[np.ndarray], component: list[b
 
 def _arrow(df: DataFrame, schema: str, f) -> DataFrame:
     ship_package(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidy("ngram_join", f), schema)
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,6 +241,7 @@ def _searched(tasks: DataFrame) -> DataFrame:
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table["set"]]
         asks = table["asks"].to_pylist()
         found = search_block(table["class"].to_pylist(), sets, table["component"].to_pylist(), [i for i, a in enumerate(asks) if a], [i for i, a in enumerate(asks) if not a])
+        settle()
         return pa.table({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([y for _, y in found], pa.binary())})
 
     ship_package(tasks.sparkSession)

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.workspace import tidy
 from barloom.session import ship_package
 
 #: At most so many positives and so many unlabelled rows are gathered for training.
@@ -116,7 +117,7 @@ def _with_features(docs: DataFrame, columns: list[str], text_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(x, pa.binary())], names=schema.names)
 
     ship_package(docs.sparkSession)
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(tidy("quality", run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], names=schema.names)
 
     ship_package(docs.sparkSession)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy("quality", run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

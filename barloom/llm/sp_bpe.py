@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, independent_runs, load, splits_at_spaces
+from barloom.llm.workspace import keep, tidy
 from barloom.session import ship_package
 
 #: Runs whose ids a worker keeps, in each of two generations (about 400 bytes each).
@@ -188,11 +189,22 @@ class BpeCodec:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+        self.compatible.clear()
+
+
 @lru_cache(2)
-def codec(path: str) -> BpeCodec:
+def _codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+def codec(path: str) -> BpeCodec:
+    found = _codec(path)
+    keep("sp_bpe", found.forget)
+    return found
+
+
 def encode_texts(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text."""
     keep = [c for c in docs.columns if c != ids_col]
@@ -205,7 +217,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", ids_col: s
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
 
     ship_package(docs.sparkSession)
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy("sp_bpe", run), schema)
 
 
 def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -220,7 +232,7 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, text_col])
 
     ship_package(df.sparkSession)
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy("sp_bpe", run), schema)
 
 
 def digest_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,4 +247,4 @@ def digest_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     ship_package(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy("sp_bpe", run), schema)

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.workspace import tidy
 from barloom.session import durable, ship_package
 
 LENGTH = 200
@@ -155,7 +156,7 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], names=["id", "text_key", "n", "anchors", "regions", "firsts"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, text_key long, n long, anchors array<long>, regions array<long>, firsts array<long>")
+    return docs.mapInArrow(tidy("suffix_dedup", run), f"id {kind}, text_key long, n long, anchors array<long>, regions array<long>, firsts array<long>")
 
 
 def _hash_windows(listed: DataFrame, length: int) -> DataFrame:
@@ -182,7 +183,7 @@ def _hash_windows(listed: DataFrame, length: int) -> DataFrame:
             )
 
     kind = listed.schema["id"].dataType.simpleString()
-    return listed.mapInArrow(run, f"anchor long, hot boolean, shared boolean, id {kind}, text_key long, first long, hashes array<long>")
+    return listed.mapInArrow(tidy("suffix_dedup", run), f"anchor long, hot boolean, shared boolean, id {kind}, text_key long, first long, hashes array<long>")
 
 
 def _compare(hashed: DataFrame, length: int) -> DataFrame:
@@ -217,7 +218,7 @@ def _compare(hashed: DataFrame, length: int) -> DataFrame:
             yield b
 
     kind = hashed.schema["id"].dataType.simpleString()
-    return hashed.mapInArrow(run, f"id {kind}, text_key long, start long, end long")
+    return hashed.mapInArrow(tidy("suffix_dedup", run), f"id {kind}, text_key long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -304,4 +305,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(tidy("suffix_dedup", run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import SPACE, independent_runs, load, splits_at_spaces
+from barloom.llm.workspace import keep, tidy
 from barloom.session import ship_package
 
 CACHE = 200_000
@@ -91,10 +92,16 @@ class UnigramCounter:
 
 
 @lru_cache(2)
-def counter(path: str) -> UnigramCounter:
+def _counter(path: str) -> UnigramCounter:
     return UnigramCounter(path)
 
 
+def counter(path: str) -> UnigramCounter:
+    found = _counter(path)
+    keep("token_count", found.cache.clear)
+    return found
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, n_tokens) of every text."""
     schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -110,4 +117,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
 
     ship_package(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy("token_count", run), schema)
