@@ -79,7 +79,7 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     length = F.length(F.coalesce(F.col(text_col), F.lit("")))
     keyed = (
         _keyed(docs, text_col)
-        .withColumn("__rank", F.struct((-length).alias("n"), F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("h")))
+        .withColumn("__rank", F.struct((-length).alias("n"), F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(*[c for c in docs.columns if c not in ADDED]).alias("h")))
         .select(*names, "text_sha256", "__block", "__mask", "__rank")
     )
     if not payload:
