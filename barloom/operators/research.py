@@ -212,6 +212,6 @@ def newey_west(series: DataFrame, value: str = "value", order: str = "date", lag
     total = F.sum(F.col("__d") * F.col("__d"))
     for k in range(1, lags + 1):
         total = total + F.coalesce(F.sum(F.col("__d") * F.col(f"__l{k}")), F.lit(0.0)) * (2 * (1 - k / (lags + 1)))
-    out = lagged.agg(F.max("__n").alias("n"), F.max("__m").alias("mean"), total.alias("__v"))
+    out = lagged.agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), F.max("__m").alias("mean"), total.alias("__v"))
     error = F.sqrt(F.greatest(F.col("__v"), F.lit(0.0)) / F.col("n") / F.col("n"))
     return out.select("n", "mean", F.when((F.col("n") >= 2) & (error > 0), F.try_divide(F.col("mean"), error)).alias("t"))

@@ -187,11 +187,12 @@ _STRATEGIES = {
 for _name, _f in _STRATEGIES.items():
     formula_query(f"strategy_{_name}", {"weight": _f})
 
-_BT = {"weight": strategies.momentum(5), "ret": "returns"}
+_BT = {"weight": strategies.momentum(5), "ret": "returns / 100"}
 
 
 def weighted(s, d, name="momentum", **p):
-    return strategies.weights(panels.brand_week(s, d), name, **(p or {"top_n": 5}))
+    """Returns of these prices are wild; a hundredth of them keeps totals in range."""
+    return strategies.weights(panels.brand_week(s, d), name, **(p or {"top_n": 5})).withColumn("returns", F.col("returns") / 100)
 
 
 BACKTEST_SQL = with_sql(_BT) + """,
@@ -205,20 +206,14 @@ QUERIES["strategy_metrics"] = lambda s, d: rounded(strategies.summary(strategies
 SQL["strategy_metrics"] = BACKTEST_SQL + f""", dd as (select *, equity / max(equity) over (order by date rows between unbounded preceding and current row) - 1 as dd from bt),
 a as (select count(*) as n, arg_max(equity, date) as e, stddev_pop(net) as sd, avg(net) as m, min(dd) as dd, sum(turnover) as t from dd)
 select {r('e - 1', 'total_return')}, {r('pow(e, 252.0::double / n) - 1', 'annual_return')}, {r('sd * sqrt(252)', 'annual_vol')}, {r('(pow(e, 252.0::double / n) - 1) / (sd * sqrt(252))', 'sharpe')}, {r('dd', 'max_drawdown')}, {r('t * 252 / n', 'annual_turnover')}, {r('m * 252 / (sd * sqrt(252))', 'daily_sharpe')} from a"""
-_LIVE_SQL = BACKTEST_SQL.replace("then (returns)::double end) as ret", "then (returns / 100)::double end) as ret") + """, be as (select date, coalesce(avg(ret), 0) as bench from result group by date),
+_LIVE_SQL = BACKTEST_SQL + """, be as (select date, coalesce(avg(ret), 0) as bench from result group by date),
 lv as (select min(date) as live from hd where held <> 0),
 ex as (select bt.date, net, bench, net - bench as excess from bt join be using (date), lv where bt.date >= live)"""
 
-
-def damped(s, d):
-    """Returns of these prices are wild; a hundredth of them keeps totals in range."""
-    return weighted(s, d).withColumn("returns", F.col("returns") / 100)
-
-
-QUERIES["validation"] = lambda s, d: rounded(strategies.validate(damped(s, d)))
+QUERIES["validation"] = lambda s, d: rounded(strategies.validate(weighted(s, d)))
 SQL["validation"] = _LIVE_SQL + f""", a as (select min(date) as live_start, pow(product(1 + net), 252.0::double / count(*)) - 1 as s, pow(product(1 + bench), 252.0::double / count(*)) - 1 as b, avg(net) * 252 / (stddev_pop(net) * sqrt(252)) as sh, avg(excess) / stddev_pop(excess) * sqrt(count(*)) as t from ex)
 select live_start::varchar as live_start, {r('s', 'strat_annual')}, {r('b', 'bench_annual')}, {r('sh', 'sharpe')}, {r('t', 't_stat')}, {r('s - b', 'excess_annual')}, case when t >= 2 then 'beats' when t <= -2 then 'trails' else 'not significant' end as verdict from a"""
-QUERIES["yearly_table"] = lambda s, d: rounded(strategies.yearly(damped(s, d)))
+QUERIES["yearly_table"] = lambda s, d: rounded(strategies.yearly(weighted(s, d)))
 SQL["yearly_table"] = _LIVE_SQL + f""", y as (select year(date)::int as year, product(1 + net) - 1 as s, product(1 + bench) - 1 as b from bt join be using (date) group by 1)
 select year, {r('s', 'strategy')}, {r('b', 'benchmark')}, {r('s - b', 'excess')} from y"""
 _GRID = {"fast": [5, 10], "slow": [20, 40]}
@@ -227,7 +222,7 @@ _GRID_COMBOS = [{"fast": f, "slow": w} for f in (5, 10) for w in (20, 40)]
 SQL["parameter_grid"] = with_sql({f"w{i}": strategies.ma_cross(**c) for i, c in enumerate(_GRID_COMBOS)} | {"ret": "returns"}) + ", lg as (" + " union all ".join(f"select '{str(c).replace(chr(39), chr(39) * 2)}' as params, code, date, ord, ret, w{i} as weight from result" for i, c in enumerate(_GRID_COMBOS)) + f"""),
 hd as (select *, coalesce(lag(weight) over (partition by params, code order by date), 0) as held from lg), mv as (select *, coalesce(abs(held - lag(held) over (partition by params, code order by date)), 0) as moved from hd),
 dy as (select params, date, ord, sum(held * coalesce(ret, 0)) - sum(moved) * 0.002::double as net from mv group by all), n as (select floor(count(distinct date) * 0.6) as k from panel),
-a as (select params, avg(net) filter (ord < k) / stddev_pop(net) filter (ord < k) * sqrt(252) as tr, avg(net) filter (ord >= k) / stddev_pop(net) filter (ord >= k) * sqrt(252) as te from dy, n group by params)
+a as (select params, avg(net) filter (ord < k) / nullif(stddev_pop(net) filter (ord < k), 0) * sqrt(252) as tr, avg(net) filter (ord >= k) / nullif(stddev_pop(net) filter (ord >= k), 0) * sqrt(252) as te from dy, n group by params)
 select params, {r('tr', 'train_sharpe')}, {r('te', 'test_sharpe')}, row_number() over (order by round(tr, 9) desc nulls last, params) = 1 as best, coalesce(te < tr * 0.5, true) as overfit from a"""
 
 
