@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +17,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
     (tests, a laptop) a temporary folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.environ.get("BARLOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="barloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
     return root.rstrip("/")
 
 
+@lru_cache(1)
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="barloom-checkpoints-")
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
