@@ -12,17 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.strategies import feature_formulas
 from barloom.plans.expr import evaluate
 from barloom.session import ship_package
 
-KINDS = ("ml", "lasso", "elastic_net", "icir_weight")
-
-
-def feature_formulas(windows: tuple[int, int, int]) -> dict[str, str]:
-    short = max(windows[0], 2)
-    held = "ffill(close)"
-    out = {f"ret{w}": f"{held} / delay({held}, {w}) - 1" for w in windows}
-    return out | {"vol": f"std(returns, {short * 2})", "volu": f"mean(volume, {short}) / mean(volume, {short * 3})"}
+KINDS = ("ml", "lasso", "elastic_net")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -80,20 +74,6 @@ def choose(frame: pd.DataFrame, names: list[str], kind: str, t: int, train: int,
     frame[numbers] = frame[numbers].astype(float).replace([np.inf, -np.inf], np.nan)
     past = frame["ord"] < t - horizon
     now = frame["ord"] == t
-    if kind == "icir_weight":
-        score, found = pd.Series(0.0, index=frame.loc[now, "code"].to_numpy()), False
-        for name in names:
-            both = frame.loc[past, ["ord", name, "forward"]]
-            ranks = both.assign(a=both.groupby("ord")[name].rank(), b=both.groupby("ord")["forward"].rank())
-            m = ranks.groupby("ord")
-            da, db = ranks["a"] - m["a"].transform("mean"), ranks["b"] - m["b"].transform("mean")
-            cov = (da * db).groupby(ranks["ord"]).mean()
-            ic = (cov / (m["a"].std(ddof=0) * m["b"].std(ddof=0))).replace([np.inf, -np.inf], np.nan).dropna()
-            if len(ic) < 20 or ic.std(ddof=0) == 0:
-                continue
-            z = pd.Series(frame.loc[now, name].to_numpy(), index=score.index)
-            score, found = score + ic.mean() / ic.std(ddof=0) * (z - z.mean()) / z.std(), True
-        return _top(score, top_n) if found else None
     if kind in ("lasso", "elastic_net"):
         for name in [*names, "forward"]:
             frame[name] = _z(frame, name)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.research import newey_west
 from barloom.session import ship_package
 
 SIMULATED = "portfolio string, date date, nav double, returns double, turnover double, cost double, trades long"
@@ -90,7 +91,7 @@ def simulate(targets: DataFrame, prices: DataFrame, limits: DataFrame, cost_bps:
 
 
 def portfolio_metrics(strategy: DataFrame, benchmark: DataFrame, days: int = 252) -> DataFrame:
-    """Totals, annual returns, Sharpe and information ratio, drawdown, monthly win rate, turnover."""
+    """Totals, annual returns, Sharpe and information ratio, drawdown, monthly win rate, turnover, t-statistic of the excess."""
     both = strategy.select("date", F.col("returns").alias("s"), "turnover").join(benchmark.select("date", F.col("returns").alias("b")), "date").where("s is not null and b is not null and not isnan(s) and not isnan(b)")
     both = both.withColumn("equity", F.product(F.col("s") + 1.0).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("dd", F.col("equity") / F.max("equity").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1)
@@ -103,7 +104,8 @@ def portfolio_metrics(strategy: DataFrame, benchmark: DataFrame, days: int = 252
         total["s"].alias("strategy_total"), total["b"].alias("benchmark_total"), annual["s"].alias("strategy_annual"), annual["b"].alias("benchmark_annual"), ratio(F.col("s")).alias("sharpe"),
         ratio(F.col("s") - F.col("b")).alias("information_ratio"), F.min("dd").alias("max_drawdown"), (F.sum("turnover") * days / n).alias("annual_turnover"),
     )
-    return out.withColumn("annual_excess", F.col("strategy_annual") - F.col("benchmark_annual")).crossJoin(month)  # one row each
+    t = newey_west(both.select("date", (F.col("s") - F.col("b")).alias("value"))).select(F.col("t").alias("excess_nw_t"))
+    return out.withColumn("annual_excess", F.col("strategy_annual") - F.col("benchmark_annual")).crossJoin(month).crossJoin(t)  # one row each
 
 
 # --- The daily account -------------------------------------------------------------------

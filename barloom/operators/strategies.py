@@ -58,7 +58,37 @@ def composite(factors: list[str], top_n: int = 50, rebalance: int = 5) -> str:
     return _on_schedule(_share(f"orderd({composite_formula(factors)}) <= {top_n}"), rebalance)
 
 
-FORMULAS: dict[str, Callable[..., str]] = {f.__name__: f for f in (ma_cross, mean_reversion, momentum, market_neutral, equal_weight)}
+def feature_formulas(windows: tuple[int, int, int]) -> dict[str, str]:
+    """Returns over three windows, volatility, and volume against its longer mean."""
+    short = max(windows[0], 2)
+    held = "ffill(close)"
+    out = {f"ret{w}": f"{held} / delay({held}, {w}) - 1" for w in windows}
+    return out | {"vol": f"std(returns, {short * 2})", "volu": f"mean(volume, {short}) / mean(volume, {short * 3})"}
+
+
+def icir_weight(top_n: int = 30, train: int = 252, retrain: int = 5, horizon: int = 5, windows: tuple[int, int, int] = (21, 63, 126), least: int = 20) -> str:
+    """Features weighted by the stability of their past rank correlation with forward returns.
+
+    A date's correlation is the same on every row of the date, so its rolling mean and
+    deviation run along each code like any other operator; they end where returns are known.
+    """
+    forward = f"rank_avg(finite(lead(close, {horizon}) / close - 1))"
+    parts, known = [], []
+    for f in feature_formulas(windows).values():
+        f = f"finite({f})"
+        a = f"rank_avg({f})"
+        ic = f"(cmean(({a} - cmean({a})) * ({forward} - cmean({forward}))) / nz(round(cstd({a}) * cstd({forward}), 12)))"
+        past, w = f"delay({ic}, {horizon + 1})", train - horizon
+        n = f"count({past}, {w})"
+        icir = f"(mean({past}, {w}, {least}) / nz(round(std({past}, {w}, {least}) * sqrt(({n} - 1) / nz({n})), 12)))"
+        parts.append(f"if(isnull({icir}), 0, {icir} * (({f} - cmean({f})) / nz(cstds({f}))))")
+        known.append(f"not isnull({icir})")
+    score = f"({' + '.join(parts)})"
+    due = f"ord >= {train} and mod(ord - {train}, {retrain}) == 0 and ({' or '.join(known)})"
+    return f"coalesce(ffill(if({due}, {_share(f'orderd({score}) <= {top_n}')}, null())), 0)"
+
+
+FORMULAS: dict[str, Callable[..., str]] = {f.__name__: f for f in (ma_cross, mean_reversion, momentum, market_neutral, equal_weight, icir_weight)}
 
 
 def weights(panel: DataFrame, name: str, **params) -> DataFrame:

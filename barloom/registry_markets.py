@@ -11,7 +11,7 @@ from barloom.functions import text
 from barloom.operators import intraday, learned, portfolio, research, snapshot, strategies
 from barloom.plans import expr
 from barloom.queries import PANELS, QUERIES, SQL, rounded, rounded_sql
-from barloom.registry_panels import _FF, _ff, r, with_sql
+from barloom.registry_panels import _FF, BACKTEST_SQL, _ff, r, weighted, with_sql
 from barloom.session import checkpoint_root, read_table
 from barloom.sources import connectors, panels
 from barloom.streaming import bars as stream_bars
@@ -148,11 +148,26 @@ QUERIES["simulate"] = lambda s, d: rounded(simulated(s, d))
 
 
 def _metrics(s, d):
-    out = simulated(s, d).cache()
-    return portfolio.portfolio_metrics(out.where("portfolio = 'strategy'"), out.where("portfolio = 'benchmark'"))
+    streams = []
+    for name, top in (("momentum", 5), ("equal_weight", 10)):
+        tested = strategies.backtest(weighted(s, d, name, top_n=top))
+        streams.append(tested.select("date", F.col("net").alias("returns"), "turnover"))
+    return portfolio.portfolio_metrics(*streams)
 
 
 QUERIES["portfolio_metrics"] = lambda s, d: rounded(_metrics(s, d))
+_TWO = BACKTEST_SQL + ",\n" + ",\n".join(BACKTEST_SQL.split("result as", 1)[1].split(",\n", 1)[1:]).replace("from result", "from result2").replace("hd as", "hd2 as").replace("from hd)", "from hd2)").replace("mv as", "mv2 as").replace("from mv ", "from mv2 ").replace("dy as", "dy2 as").replace("from dy)", "from dy2)").replace("bt as", "bt2 as")
+_BENCH = {"weight": strategies.equal_weight(10), "ret": "returns / 100"}
+_SECOND = expr.to_sql("panel", _BENCH, "code, date, ord").replace("result as", "result2 as").replace("panel_", "second_").replace("second_b", "panel_b")
+SQL["portfolio_metrics"] = _TWO.replace(",\nhd2 as", ",\n" + _SECOND + ",\nhd2 as") + f""",
+j as (select bt.date, bt.net as s, bt2.net as b, bt.turnover as t from bt join bt2 on bt.date = bt2.date),
+e as (select *, product(1 + s) over (order by date rows between unbounded preceding and current row) as eq from j), dd as (select min(eq / m - 1) as dd from (select eq, max(eq) over (order by date rows between unbounded preceding and current row) as m from e)),
+mo as (select avg(case when s > b then 1.0::double else 0 end) as w from (select product(1 + s) as s, product(1 + b) as b from j group by date_trunc('month', date))),
+c as (select s - b - (select avg(s - b) from j) as d, date from j), l as (select d, {', '.join(f'lag(d, {k}) over (order by date) as l{k}' for k in range(1, 5))} from c),
+v as (select sum(d * d) + {' + '.join(f'2 * (1 - {k} / 5.0::double) * coalesce(sum(d * l{k}), 0)' for k in range(1, 5))} as v from l),
+a as (select count(*) as n, product(1 + s) - 1 as st, product(1 + b) - 1 as bt, avg(s) / stddev_pop(s) * sqrt(252) as sh, avg(s - b) / stddev_pop(s - b) * sqrt(252) as ir, avg(s - b) as mx, sum(t) * 252 / count(*) as tu from j)
+select {r('st', 'strategy_total')}, {r('bt', 'benchmark_total')}, {r('pow(1 + st, 252.0::double / n) - 1', 'strategy_annual')}, {r('pow(1 + bt, 252.0::double / n) - 1', 'benchmark_annual')}, {r('pow(1 + st, 252.0::double / n) - pow(1 + bt, 252.0::double / n)', 'annual_excess')},
+ {r('sh', 'sharpe')}, {r('ir', 'information_ratio')}, {r('dd', 'max_drawdown')}, {r('w', 'monthly_win_rate')}, {r('tu', 'annual_turnover')}, {r('mx / sqrt(greatest(v, 0) / n / n)', 'excess_nw_t')} from a, dd, mo, v"""
 
 
 def account_days(s, d):
@@ -339,7 +354,7 @@ def _learned(kind):
     return run
 
 
-for _k in ("ml", "lasso", "elastic_net", "icir_weight"):
+for _k in ("ml", "lasso", "elastic_net"):
     QUERIES[f"strategy_{_k}"] = _learned(_k)
 
 

@@ -183,6 +183,7 @@ select n, {r('(select avg(ic) from ic)', 'mean')}, {r('(select avg(ic) from ic)
 _STRATEGIES = {
     "ma_cross": strategies.ma_cross(), "mean_reversion": strategies.mean_reversion(), "momentum": strategies.momentum(5), "market_neutral": strategies.market_neutral(5),
     "equal_weight": strategies.equal_weight(10), "alpha_composite": strategies.composite(FACTORS, 10),
+    "icir_weight": strategies.icir_weight(5, 120, 60, 5, (5, 10, 20)),
 }
 for _name, _f in _STRATEGIES.items():
     formula_query(f"strategy_{_name}", {"weight": _f})

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 #: One of each kind; the driver compares all of them.
 CHOSEN = [
     "alpha_003", "alpha_029", "alpha_064", "alpha_100", "operator_ts_rank", "operator_indneutralize", "liquidity_mask", "composite", "ic_series", "quantile_returns", "top_turnover", "trade_signals", "fundamental_panel",
-    "as_of_bounded", "newey_west", "strategy_momentum", "strategy_market_neutral", "backtest", "strategy_metrics", "event_study", "parameter_grid", "day_factors", "neutralize", "quantile_cohorts", "dynamic_universe",
+    "as_of_bounded", "newey_west", "strategy_momentum", "strategy_market_neutral", "strategy_icir_weight", "portfolio_metrics", "backtest", "strategy_metrics", "event_study", "parameter_grid", "day_factors", "neutralize", "quantile_cohorts", "dynamic_universe",
     "build_targets", "price_limits", "account_replay", "snapshot_changes", "snapshot_retention", "keyed_upsert", "vendor_flatten", "quarter_ends", "attention_funnel", "stream_tumbling_bars",
 ]
 
@@ -53,7 +53,7 @@ def test_every_query_is_registered(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["simulate", "portfolio_metrics", "account_step", "strategy_ml", "strategy_lasso", "strategy_icir_weight", "strategy_pairs"])
+@pytest.mark.parametrize("name", ["simulate", "account_step", "strategy_ml", "strategy_lasso", "strategy_pairs"])
 def test_queries_without_sql_run(spark, name):
     rows = QUERIES[name](spark, DATA).count()  # the smallest tables are too short for some of them to act
     assert rows > 0 or name == "simulate"
