@@ -154,18 +154,25 @@ def new_account(capital: float) -> dict:
 ACCOUNT_DAYS = "account string, date string, nav double, cash double, positions_value double, bench_nav double, orders long"
 
 
+def fold_days(state: dict, frame: pd.DataFrame, rebalance: int, cost_bps: float) -> tuple[dict, pd.DataFrame]:
+    """Step an account through the dates of ``frame`` that it hasn't seen; the state after, and one row a day."""
+    out = []
+    for date, g in frame.groupby("date", sort=True):
+        if state["last_run"] is not None and str(date) <= state["last_run"]:
+            continue
+        column = lambda c: dict(zip(g["code"], g[c], strict=True))  # noqa: B023, E731
+        aims = {c: w for c, w in column("weight").items() if w is not None and w == w and w != 0}
+        state, row, orders = account_step(state, str(date), column("close"), column("mark"), float(g["bench_return"].iloc[0]), aims or None, rebalance, cost_bps)
+        if row:
+            out.append({"account": frame["account"].iloc[0], **row, "orders": len(orders)})
+    return state, pd.DataFrame(out, columns=["account", "date", "nav", "cash", "positions_value", "bench_nav", "orders"])
+
+
 def run_accounts(days: DataFrame, capital: float = 100_000.0, rebalance: int = 5, cost_bps: float = 10) -> DataFrame:
     """Fold accounts over ``days(account, date, code, close, mark, bench_return, weight)``; accounts are independent."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = new_account(capital), []
-        for date, g in frame.groupby("date", sort=True):
-            number = lambda c: dict(zip(g["code"], g[c], strict=True))  # noqa: B023, E731
-            aims = {c: w for c, w in number("weight").items() if w == w and w is not None and w != 0}
-            state, row, orders = account_step(state, str(date), number("close"), number("mark"), float(g["bench_return"].iloc[0]), aims or None, rebalance, cost_bps)
-            if row:
-                out.append({"account": frame["account"].iloc[0], **row, "orders": len(orders)})
-        return pd.DataFrame(out, columns=["account", "date", "nav", "cash", "positions_value", "bench_nav", "orders"])
+        return fold_days(new_account(capital), frame, rebalance, cost_bps)[1]
 
     ship_package(days.sparkSession)
     return days.groupBy("account").applyInPandas(run, ACCOUNT_DAYS)

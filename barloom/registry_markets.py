@@ -14,6 +14,7 @@ from barloom.queries import PANELS, QUERIES, SQL, rounded, rounded_sql
 from barloom.registry_panels import _FF, BACKTEST_SQL, _ff, r, weighted, with_sql
 from barloom.session import checkpoint_root, read_table
 from barloom.sources import connectors, panels
+from barloom.streaming import accounts
 from barloom.streaming import bars as stream_bars
 
 # --- Intraday: bars of event types, minute volume from the JSON property ----------------
@@ -386,3 +387,20 @@ SQL["stream_dedupe"] = "select user_id, count(distinct event_id) as n from event
 QUERIES["stream_sessions"] = lambda s, d: rounded(streamed(s, d, lambda e: stream_bars.sessions(e, "12 hours")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events")))
 SQL["stream_sessions"] = f"""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end as nw from events), i as (select *, sum(nw) over (partition by user_id order by ts rows unbounded preceding) as k from g),
 s as (select user_id, k, count(*) as n, max(ts) + interval 12 hour as e from i group by 1, 2) select user_id, count(*) as sessions, sum(n)::bigint as events from s where e <= {_WM} group by 1"""
+
+
+def _account_stream(s, d):
+    """The days of ``account_step`` delivered in three batches, the middle one twice."""
+    root = f"{checkpoint_root(s)}/barloom/accounts-{uuid.uuid4().hex}"
+    days = account_days(s, d)
+    order = days.select("date").distinct().orderBy("date").withColumn("i", F.row_number().over(Window.orderBy("date")))
+    placed = days.join(F.broadcast(order), "date").cache()
+    n = order.count()
+    for k, (a, z) in enumerate(((0, n // 3), (n // 3, 2 * n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n))):
+        placed.where((F.col("i") > a) & (F.col("i") <= z)).drop("i").coalesce(1).write.parquet(f"{root}/in/batch={k}")
+    placed.unpersist()
+    stream = s.readStream.schema(s.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").drop("batch")
+    return stream_bars.run_available(accounts.account_stream(stream), f"{root}/out", f"{root}/log")
+
+
+QUERIES["stream_account_step"] = lambda s, d: rounded(_account_stream(s, d), 2)

@@ -57,3 +57,9 @@ def test_every_query_is_registered(spark):
 def test_queries_without_sql_run(spark, name):
     rows = QUERIES[name](spark, DATA).count()  # the smallest tables are too short for some of them to act
     assert rows > 0 or name == "simulate"
+
+
+def test_streamed_accounts_equal_the_batch(spark):
+    key = lambda rows: sorted(tuple(r.asDict().items()) for r in rows)
+    got, want = (key(QUERIES[n](spark, DATA).collect()) for n in ("stream_account_step", "account_step"))
+    assert got == want and len(got) > 100
