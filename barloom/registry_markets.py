@@ -231,18 +231,21 @@ def _industries(s):
 QUERIES["industry_mapping"] = lambda s, d: snapshot.mapped_industries(snapshots(s, d).select("code", F.col("sec").alias("industry")).distinct(), *_industries(s)).select("code", "industry", "group", "sector")
 SQL["industry_mapping"] = f"""with {_SNAP}, x as (select distinct code, sec as industry from sn), g as (select code, industry, case when code = 5 then 'g9' when code = 6 then 'g1' when industry in ('s0','s3') then 'g0' when industry in ('s1','s4') then 'g1' when industry in ('s2','s5') then 'g2' else 'unknown' end as "group" from x)
 select *, case "group" when 'g0' then 'finance' when 'g1' then 'energy' when 'g9' then 'own' else 'unknown' end as sector from g"""
-QUERIES["keyed_upsert"] = lambda s, d: rounded(snapshot.upserted(_rows(s, d, "event_id % 2 = 0"), _rows(s, d, "event_id % 3 = 0"), ["code", "date"]))
-QUERIES["append_dedupe"] = lambda s, d: rounded(snapshot.appended(_rows(s, d, "event_id % 2 = 0"), _rows(s, d, "event_id % 3 = 0"), ["code", "date"]))
+#: Rows that are there and rows that arrive; errors are in both.
+OLD = "event_type in ('click', 'view', 'error')"
+NEW = "event_type in ('error', 'purchase', 'signup')"
+QUERIES["keyed_upsert"] = lambda s, d: rounded(snapshot.upserted(_rows(s, d, OLD), _rows(s, d, NEW), ["code", "date"]))
+QUERIES["append_dedupe"] = lambda s, d: rounded(snapshot.appended(_rows(s, d, OLD), _rows(s, d, NEW), ["code", "date"]))
 
 
 def _rows(s, d, where):
     return read_table(s, d, "events").where(where).select(F.col("user_id").alias("code"), F.to_date("ts").alias("date"), F.col("event_id").alias("seq"), "value")
 
 
-_ROWS = "ro as (select user_id as code, ts::date as date, event_id as seq, value, 0 as nw from events where event_id % 2 = 0 union all select user_id, ts::date, event_id, value, 1 from events where event_id % 3 = 0)"
+_ROWS = "ro as (select user_id as code, ts::date as date, event_id as seq, value, 0 as nw from events where event_type in ('click', 'view', 'error') union all select user_id, ts::date, event_id, value, 1 from events where event_type in ('error', 'purchase', 'signup'))"
 SQL["keyed_upsert"] = f"with {_ROWS} select code, date::varchar as date, seq, {r('value')} from ro qualify row_number() over (partition by code, date order by nw desc, seq desc) = 1"
 SQL["append_dedupe"] = f"with {_ROWS} select code, date::varchar as date, seq, {r('value')} from ro qualify row_number() over (partition by code, date order by nw, seq) = 1"
-QUERIES["combine_first"] = lambda s, d: rounded(snapshot.combined_first(*[_rows(s, d, w).groupBy("code", "date").agg(F.max("value").alias("v")) for w in ("event_id % 2 = 0", "event_id % 3 = 0")], ["code", "date"], ["v"]))
+QUERIES["combine_first"] = lambda s, d: rounded(snapshot.combined_first(*[_rows(s, d, w).groupBy("code", "date").agg(F.max("value").alias("v")) for w in (OLD, NEW)], ["code", "date"], ["v"]))
 SQL["combine_first"] = f"with {_ROWS}, b as (select code, date, max(value) as v from ro where nw = 0 group by 1, 2), x as (select code, date, max(value) as v from ro where nw = 1 group by 1, 2) select code, date::varchar as date, {r('coalesce(b.v, x.v)', 'v')} from b full join x using (code, date)"
 
 # --- Connectors and text rules -----------------------------------------------------------
@@ -276,14 +279,14 @@ QUERIES["vendor_flatten"] = lambda s, d: rounded(connectors.flatten_vendor(_payl
 
 def _payload(s, d):
     """Ragged vendor tables: the second list is one shorter than the times."""
-    g = read_table(s, d, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
+    g = read_table(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
     v = F.transform("x", lambda p: p["value"])
     return g.select(F.array(F.struct(F.col("user_id").cast("string").alias("thscode"), F.transform("x", lambda p: p["event_id"].cast("string")).alias("time"), F.create_map(F.lit("v"), v, F.lit("w"), F.slice(v, 1, F.size(v) - 1)).alias("table"))).alias("tables"))
 
 
-SQL["vendor_flatten"] = f"with e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id desc) as b from events where event_id % 5 = 0) select user_id::varchar as thscode, event_id::varchar as time, {r('value', 'v')}, {r('case when b > 1 then value end', 'w')} from e"
-QUERIES["pending_fetch"] = lambda s, d: connectors.pending(read_table(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), read_table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k")), ["k"])
-SQL["pending_fetch"] = "select distinct o_custkey as k from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0)"
+SQL["vendor_flatten"] = f"with e as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id desc) as b from events) select user_id::varchar as thscode, event_id::varchar as time, {r('value', 'v')}, {r('case when b > 1 then value end', 'w')} from e"
+QUERIES["pending_fetch"] = lambda s, d: connectors.pending(read_table(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), read_table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")), ["k"])
+SQL["pending_fetch"] = "select distinct o_custkey as k from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')"
 QUERIES["duplicate_keys"] = lambda s, d: connectors.one_row_a_key(read_table(s, d, "lineitem").select("l_orderkey", "l_suppkey"), ["l_orderkey", "l_suppkey"])
 SQL["duplicate_keys"] = 'select l_orderkey, l_suppkey, count(*) as "rows" from lineitem group by 1, 2 having count(*) > 1'
 

@@ -143,13 +143,13 @@ SQL["run_models"] = with_sql({"m101": FORMULAS[101], "m6": FORMULAS[6]}) + ", l
 
 def _signals(s, d):
     scores = research.pick(research.score_table(_ff(s, d, formulas=_SCORE), "composite"), 1000)
-    held = scores.where(F.col("rank") % 3 == 0).select("code", F.lit(0.04).alias("current_weight")).unionByName(s.createDataFrame([("gone00", 0.03)], "code string, current_weight double"))
+    held = scores.where(F.col("rank").between(4, 18)).select("code", F.lit(0.04).alias("current_weight")).unionByName(s.createDataFrame([("gone00", 0.03)], "code string, current_weight double"))
     return research.trade_signals(scores, held, 5, 15).withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
 QUERIES["trade_signals"] = lambda s, d: rounded(_signals(s, d))
 SQL["trade_signals"] = _SCORE_SQL + f""", l as (select code, score, rank from sc where date = (select max(date) from sc)),
-h as (select code, 0.04::double as w from l where rank % 3 = 0 union all select 'gone00', 0.03),
+h as (select code, 0.04::double as w from l where rank between 4 and 18 union all select 'gone00', 0.03),
 m as (select coalesce(l.code, h.code) as code, coalesce(w, 0) as w, score, rank, coalesce(rank <= 5, false) as top, h.code is not null and not coalesce(rank <= 5, false) and coalesce(rank <= 15, false) as kept from l full join h on l.code = h.code),
 n as (select count(*) filter (top or kept) as n from m)
 select code, case when top and w > 0 then 'hold' when top then 'buy' when kept then 'hold' else 'sell' end as action, {r('w', 'current_weight')}, {r('case when top or kept then least(0.05, 1.0::double / n) else 0 end', 'target_weight')}, {r('score')}, coalesce(rank, -1)::int as rank,
@@ -160,11 +160,11 @@ _FUND_FIELDS = ["eps", "bvps", "roe", "ocfps", "gross_margin", "rev_yoy", "profi
 
 
 def fundamentals(s, d):
-    e = panels.read_table(s, d, "events").where("event_id % 9 = 0")
+    e = panels.read_table(s, d, "events").where("event_type = 'purchase'")
     return e.select(F.col("user_id").alias("code"), F.to_date("ts").alias("announce"), F.col("event_id").alias("seq"), *[F.expr(_FUND[f]).alias(f) for f in _FUND_FIELDS])
 
 
-_FUND_SQL = "fr as (select user_id as code, ts::date as date, event_id, " + ", ".join(f"{_FUND[f]} as {f}" for f in _FUND_FIELDS) + " from events where event_id % 9 = 0),\nfo as (select code, date, " + ", ".join(f"arg_max({f}, event_id) as {f}" for f in _FUND_FIELDS) + " from fr group by 1, 2)"
+_FUND_SQL = "fr as (select user_id as code, ts::date as date, event_id, " + ", ".join(f"{_FUND[f]} as {f}" for f in _FUND_FIELDS) + " from events where event_type = 'purchase'),\nfo as (select code, date, " + ", ".join(f"arg_max({f}, event_id) as {f}" for f in _FUND_FIELDS) + " from fr group by 1, 2)"
 QUERIES["fundamental_panel"] = lambda s, d: rounded(research.as_of(panels.user_day(s, d).select("code", "date"), fundamentals(s, d), _FUND_FIELDS))
 _ASOF = "p.code, p.date, " + ", ".join(_FUND_FIELDS) + " from panel p asof left join fo on p.code = fo.code and p.date >= fo.date"
 SQL["fundamental_panel"] = f"with {panels.USER_DAY_SQL},\n{_FUND_SQL}, result as (select {_ASOF})\n{rounded_sql(_FUND_FIELDS)}"
@@ -228,11 +228,11 @@ select params, {r('tr', 'train_sharpe')}, {r('te', 'test_sharpe')}, row_number()
 
 
 def notices(s, d):
-    e = panels.read_table(s, d, "events").where("event_id % 11 = 0")
+    e = panels.read_table(s, d, "events")
     return e.select(F.col("user_id").alias("code"), F.date_add(F.to_date("ts"), 1).alias("notice"), F.col("event_type").alias("kind"), F.col("event_id").alias("event"))
 
 
-_NOTICE_SQL = "nt as (select user_id as code, ts::date + 1 as notice, event_type as kind, event_id as event from events where event_id % 11 = 0),\nnp as (select nt.*, (select min(ord) from panel where date >= notice) as pos from nt)"
+_NOTICE_SQL = "nt as (select user_id as code, ts::date + 1 as notice, event_type as kind, event_id as event from events),\nnp as (select nt.*, (select min(ord) from panel where date >= notice) as pos from nt)"
 QUERIES["strategy_event_drift"] = lambda s, d: rounded(strategies.event_weights(panels.user_day(s, d), notices(s, d).where("kind <> 'error'"), 5))
 SQL["strategy_event_drift"] = f"""with {panels.USER_DAY_SQL},\n{_NOTICE_SQL}, ac as (select distinct code, pos + k as ord from np, (select unnest(range(5)) as k) where kind <> 'error' and pos is not null),
 jn as (select p.code, p.date, case when ac.code is null then 0.0::double else 1.0 end as a from panel p left join ac on p.code = ac.code and p.ord = ac.ord), result as (select code, date, coalesce(a / nullif(sum(a) over (partition by date), 0), 0) as weight from jn)\n{rounded_sql(['weight'])}"""
