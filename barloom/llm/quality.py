@@ -134,8 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known.withColumn("r", rank).where("quality = 1").orderBy("r", id_col).limit(sample).select(id_col, F.lit(1).alias("positive"))
         .unionByName(known.withColumn("r", F.xxhash64(F.col(id_col), F.lit(29))).orderBy("r", id_col).limit(sample).select(id_col, F.lit(0).alias("positive")))
     )
-    picked = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col)
-    rows = _with_features(picked, ["positive", id_col], text_col).orderBy("positive", id_col).select("positive", "x").collect()  # at most 2 * sample rows of 400 bytes, but for repeated ids
+    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).where(F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col)
+    # One text an id, however often the id is repeated.
+    picked = found.groupBy("positive", id_col).agg(F.min("text").alias("text"))
+    rows = _with_features(picked, ["positive", id_col], "text").orderBy("positive", id_col).select("positive", "x").collect()  # at most 2 * sample rows of 400 bytes
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, N_FEATURES)
     positive = np.array([r["positive"] == 1 for r in rows], bool)
     if not positive.any() or positive.all():

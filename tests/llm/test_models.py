@@ -166,6 +166,13 @@ def test_quality_of_awkward_rows(spark, rng, awkward, empty):
     assert {r.score for r in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
 
 
+def test_repeated_ids_count_once_in_training(spark, rng):
+    docs, labels, _ = labelled(spark, rng, 120)
+    again = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1"))
+    a, b = (dict((r.doc_id, r.score) for r in quality.classify(x, labels).collect()) for x in (docs, again))
+    assert a == b
+
+
 def test_risk_is_not_negative_at_the_end():
     r = np.random.default_rng(0)
     p = r.normal(1, 1, (300, 5))
