@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from barloom.plans.expr import evaluate, parse, windows_of
+from barloom.session import durable
 
 # The published formulas with their whole-number windows.
 FORMULAS: dict[int, str] = {
@@ -115,6 +116,7 @@ FORMULAS: dict[int, str] = {
     101: "(close-open)/(high-low+0.001)",
 }
 
+SETTLED_FROM = 20
 #: Factors that compare within an industry.
 NEEDS_INDUSTRY = tuple(n for n, f in FORMULAS.items() if "indn(" in f)
 
@@ -133,7 +135,9 @@ def compute_all(panel: DataFrame, numbers: list[int] | None = None) -> DataFrame
     """``code, date`` and one column ``alpha_N`` for each factor that the panel's columns allow.
 
     Sub-formulas that factors share are computed once, and all factors together change
-    layout no more often than the one that changes it most.
+    layout no more often than the one that changes it most (five times).  With more than
+    ``SETTLED_FROM`` factors the panel is written at each change, which keeps plans short.
     """
     able = [n for n in numbers or FORMULAS if "ind" in panel.columns or n not in NEEDS_INDUSTRY]
-    return evaluate(panel, {f"alpha_{n}": FORMULAS[n] for n in able}, ["code", "date"])
+    settle = (lambda df: durable(df, "factors")) if len(able) > SETTLED_FROM else None
+    return evaluate(panel, {f"alpha_{n}": FORMULAS[n] for n in able}, ["code", "date"], settle)

@@ -321,8 +321,12 @@ def _logical(n: Node) -> bool:
     return n.op in LOGICAL
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """``panel`` (or its columns ``keep``) with one column for each formula."""
+def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``panel`` (or its columns ``keep``) with one column for each formula.
+
+    ``settle`` is applied whenever the layout changes, to the columns that are still
+    needed; a table written there keeps the plan of very many formulas short.
+    """
     roots = {name: parse(text) for name, text in formulas.items()}
     s, df, before = _Spark(), panel, shared_levels(roots.values())
 
@@ -333,7 +337,11 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None
             s.known |= names
         return df
 
-    for _, nodes in stages(roots.values()):
+    rounds, last = stages(roots.values()), None
+    for at, (layout, nodes) in enumerate(rounds):
+        if settle and last not in (None, layout):
+            df = settle(df.select(*_needed([n for _, later in rounds[at:] for n in later], roots.values(), s.known, keep or panel.columns)))
+        last = layout
         df = share(df, [i for n in nodes for i in n.inputs()])
         inputs: dict[Node, str] = {}
         for n in nodes:
@@ -349,6 +357,28 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None
     return df.select(*(keep or panel.columns), *[(clear(c.cast("double")) if not _logical(r) else F.coalesce(c, F.lit(False))).alias(name) for name, r in roots.items() for c in [s.elementwise(r)]])
 
 
+def _needed(later: Iterable[Node], roots: Iterable[Node], known: dict[Node, str], keep: list[str]) -> list[str]:
+    """Columns that the nodes still to come, and the results, are made of."""
+    out = dict.fromkeys([*keep, "code", "date"])
+    seen: set[Node] = set()
+
+    def visit(n: Node, itself: bool = True) -> None:
+        if itself and n in known:
+            out[known[n]] = None
+        elif n.op == "field":
+            out[n.args[0]] = None
+        elif n not in seen:
+            seen.add(n)
+            for c in n.inputs():
+                visit(c)
+            if n.op == "indn":
+                out["ind"] = None
+
+    for n in [*later, *roots]:
+        visit(n)
+    return list(out)
+
+
 # --- SQL -----------------------------------------------------------------------------
 
 

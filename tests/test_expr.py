@@ -116,3 +116,18 @@ def test_typical_vwap_replaces_amount(spark):
     assert panels.with_vwap(df, "typical").first().amount == 20.0
     with pytest.raises(ValueError):
         panels.with_vwap(df, "other")
+
+
+def test_written_layouts_change_nothing(spark, monkeypatch):
+    from barloom.functions import alphas
+
+    r = np.random.default_rng(6)
+    rows = [(c, d, *(float(x) for x in r.uniform(5, 50, 8)), f"g{i % 2}") for d in range(30) for i, c in enumerate("abcde")]
+    full = spark.createDataFrame(rows, "code string, date int, open double, high double, low double, close double, volume double, amount double, vwap double, returns double, ind string")
+    numbers = [3, 13, 15, 31, 44, 50, 100]
+    plain = {(x.code, x.date): x for x in compute_all(full, numbers).collect()}
+    monkeypatch.setattr(alphas, "SETTLED_FROM", 3)
+    for x in compute_all(full, numbers).collect():
+        for n in numbers:
+            a, b = x[f"alpha_{n}"], plain[x.code, x.date][f"alpha_{n}"]
+            assert (a is None and b is None) or a == pytest.approx(b, abs=1e-12)
