@@ -26,8 +26,11 @@ are one *class*, and all that follows is done once a class.  Two sets link when
 Links that would join what is joined already are not looked for, so copies in any
 number cost no pairs, and no link between different components is lost.
 
+These numbers are those of ``OP9``, the rule of the query: three words and 0.9.  A `Rule` of another
+width and similarity gives its own; below 0.9 ``_link_by_prefix`` takes the place of steps 1 to 3.
+
 Null texts and texts without words have an empty set and link with nothing.  A text with
-fewer than three words has its whole sequence as one shingle.  Repeated rows and null ids
+fewer words than a shingle has its whole sequence as one shingle.  Repeated rows and null ids
 take part as any row; a component is named by the smallest id in it.
 """
 
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,6 @@ from barloom.llm.components import connected_components
 from barloom.llm.workspace import settle, tidy
 from barloom.session import durable, ship_package
 
-N = 3
 VECTOR = 32
 #: Sets under this size are keyed by prefix, others by groups.
 GROUPED_FROM = 64
@@ -56,12 +59,58 @@ SPARE = 3
 BLOCK_BYTES = 24_000_000
 #: Keys of representatives are broadcast up to this many (16 bytes each).
 BROADCAST_KEYS = 4_000_000
+#: Texts that set the order of shingles, and shingles that are broadcast for it (9 bytes each).
+ORDER_TEXTS = 16_384
+ORDER_SHINGLES = 2_000_000
+#: Keys of up to so many classes give pairs; larger ones are chained and searched.
+PAIRED = 64
 LEAF = 32
 
 _U = np.uint64
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], _U)
 
 
+class Rule(NamedTuple):
+    """Sets of ``width``-word shingles link when their similarity is ``percent`` or more."""
+
+    width: int = 3
+    percent: int = 90
+
+    @property
+    def grouped(self) -> bool:
+        """Whether hash groups hold enough shingles to be keys; the lower the similarity, the more groups there are."""
+        return self.percent >= 90
+
+    @property
+    def apart(self) -> int:
+        """Two linked sets differ in at most ``apart / total`` of their summed sizes."""
+        return 100 - self.percent
+
+    @property
+    def total(self) -> int:
+        return 100 + self.percent
+
+    @property
+    def least(self) -> int:
+        """The smallest set that links with another than itself."""
+        return -(-self.percent // self.apart)
+
+    def smallest(self, n):
+        """The size that a partner of ``n`` shingles has at least."""
+        return -(-self.percent * n // 100)
+
+    def prefix(self, n):
+        """How many shingles, in any fixed order, must hold one of every partner."""
+        return n - self.smallest(n) + 1
+
+    def groups(self, most: int) -> int:
+        """Groups for sets of up to ``most`` shingles, of which ``SPARE`` may be empty."""
+        return 2 * most * self.apart // self.total + 1 + SPARE
+
+
+OP9 = Rule()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U(33))
     h = h * _U(0xFF51AFD7ED558CCD)
@@ -70,15 +119,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def shingle_set(data: bytes) -> np.ndarray:
+def shingle_set(data: bytes, rule: Rule = OP9) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text's UTF-8 bytes."""
     words = data.lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
     if not words:
         return np.empty(0, _U)
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))
-    if len(w) < N:
-        return _mix((w * _K[: len(w)]).sum(keepdims=True) + _U(len(w)))
-    return np.unique(_mix(w[:-2] * _K[0] + w[1:-1] * _K[1] + w[2:] * _K[2]))
+    k = _factors(rule.width)
+    if len(w) < rule.width:
+        return _mix((w * k[: len(w)]).sum(keepdims=True) + _U(len(w)))
+    last = len(w) - rule.width + 1
+    return np.unique(_mix(sum((w[i : i + last] * k[i] for i in range(1, rule.width)), w[:last] * k[0])))
+
+
+@lru_cache(16)
+def _factors(width: int) -> np.ndarray:
+    """One odd factor for each word of a shingle."""
+    more = [_mix(_K[:1] + _U(i))[0] | _U(1) for i in range(3, width)]
+    return np.concatenate([_K, np.array(more, _U)])[:width]
 
 
 @lru_cache(1)
@@ -94,12 +152,12 @@ def _edges(groups: int) -> np.ndarray:
     return np.array([(i << 64) // groups for i in range(1, groups)], _U)
 
 
-def keys_of(h: np.ndarray) -> np.ndarray:
+def keys_of(h: np.ndarray, rule: Rule = OP9) -> np.ndarray:
     """Keys under which a set meets every set it links with."""
     n = len(h)
-    if n < 9:
+    if n < rule.least:
         return np.empty(0, _U)
-    partner = n * 10 // 9
+    partner = n * 100 // rule.percent
     bounds = _levels()
     out, sparse = [], n < GROUPED_FROM
     if partner >= GROUPED_FROM:
@@ -107,17 +165,29 @@ def keys_of(h: np.ndarray) -> np.ndarray:
         own = max(0, int(np.searchsorted(bounds, n, "right")) - 1)
         last = int(np.searchsorted(bounds, partner, "right")) - 1
         for level in range(own, last + 1):
-            groups = 2 * (bounds[level + 1] - 1) // 19 + 1 + SPARE
+            groups = rule.groups(bounds[level + 1] - 1)
             cut = np.concatenate([[0], np.searchsorted(h, _edges(groups)), [n]])
             full = cut[1:] > cut[:-1]
             sparse = sparse or int(groups - full.sum()) > SPARE
             signature = sums[cut[1:]] - sums[cut[:-1]]
             out.append(_mix((signature ^ _mix(np.arange(groups, dtype=_U) + np.array([groups], _U) * _K[2]))[full]))
     if sparse:
-        out.append(_mix(h[: n - -(-9 * n // 10) + 1] ^ _K[0]))
+        out.append(_mix(h[: rule.prefix(n)] ^ _K[0]))
     return np.concatenate(out)
 
 
+def prefix_of(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], rule: Rule) -> np.ndarray:
+    """The keys of a set by prefix: its first shingles, ``common`` (sorted hashes, ranks) last."""
+    if len(h) < rule.least:
+        return np.empty(0, _U)
+    hashes, ranks = common
+    rank = np.zeros(len(h), np.int8)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        rank = np.where(hashes[at] == h, ranks[at], rank)
+    return h[np.argsort(rank, kind="stable")[: rule.prefix(len(h))]]
+
+
 def class_of(h: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     return np.array([_mix(h + _K[0]).sum(dtype=_U), _mix(h ^ _K[2]).sum(dtype=_U) + _U(len(h))], _U).tobytes()
@@ -127,18 +197,19 @@ def vector_of(h: np.ndarray) -> np.ndarray:
     return np.bincount((h & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR).astype(np.int32)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, rule: Rule = OP9) -> bool:
     """Whether two sorted sets link."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     i = int((both[1:] == both[:-1]).sum())
-    return 100 * i >= 90 * (len(a) + len(b) - i)
+    return 100 * i >= rule.percent * (len(a) + len(b) - i)
 
 
 class RTree:
     """Count vectors packed by size and then by their largest differences, with a box of maxima over each node."""
 
-    def __init__(self, points: np.ndarray, component: list[int]):
+    def __init__(self, points: np.ndarray, component: list[int], rule: Rule = OP9):
+        self.rule = rule
         sizes = points.sum(1)
         spread = points - np.outer(sizes, points.sum(0) / max(1, points.sum()))
         turn = spread @ np.linalg.svd(spread.astype(float), full_matrices=False)[2][0] if len(points) > LEAF else np.zeros(len(points))
@@ -158,36 +229,36 @@ class RTree:
 
     def search(self, q: np.ndarray, same: np.ndarray) -> np.ndarray:
         """Numbers of the points whose bound admits a link; ``same[c]`` tells the components to skip."""
-        n = int(q.sum())
+        n, (percent, total) = int(q.sum()), (self.rule.percent, self.rule.total)
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, least, most, own = (a[nodes] for a in self.levels[depth])
-            open_ = (9 * n <= 10 * most) & (9 * least <= 10 * n) & ~((own >= 0) & same[own])
-            open_ &= 19 * np.minimum(high, q).sum(1, dtype=np.int64) >= 9 * (n + np.maximum(least, -(-9 * n // 10)))
+            open_ = (percent * n <= 100 * most) & (percent * least <= 100 * n) & ~((own >= 0) & same[own])
+            open_ &= total * np.minimum(high, q).sum(1, dtype=np.int64) >= percent * (n + np.maximum(least, self.rule.smallest(n)))
             nodes = nodes[open_]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < below]
-        fits = 19 * np.minimum(self.points[nodes], q).sum(1, dtype=np.int64) >= 9 * (n + self.sizes[nodes])
-        fits &= (9 * n <= 10 * self.sizes[nodes]) & (9 * self.sizes[nodes] <= 10 * n)
+        fits = total * np.minimum(self.points[nodes], q).sum(1, dtype=np.int64) >= percent * (n + self.sizes[nodes])
+        fits &= (percent * n <= 100 * self.sizes[nodes]) & (percent * self.sizes[nodes] <= 100 * n)
         return self.order[nodes[fits]]
 
 
-def search_block(classes: list[bytes], sets: list[np.ndarray], component: list[bytes], queries: list[int], index: list[int]) -> list[tuple[bytes, bytes]]:
+def search_block(classes: list[bytes], sets: list[np.ndarray], component: list[bytes], queries: list[int], index: list[int], rule: Rule = OP9) -> list[tuple[bytes, bytes]]:
     """Verified links that join components, between ``queries`` and ``index`` (positions)."""
     if not queries or not index:
         return []
     names = {c: i for i, c in enumerate(dict.fromkeys(component))}
     own = [names[c] for c in component]
     root = np.arange(len(names))
-    tree = RTree(np.stack([vector_of(sets[i]) for i in index]), [own[i] for i in index])
+    tree = RTree(np.stack([vector_of(sets[i]) for i in index]), [own[i] for i in index], rule)
     out = []
     for q in queries:
         mine = root[own[q]]
         for k in tree.search(vector_of(sets[q]), root == mine):
             i = index[k]
             other = root[own[i]]
-            if other != mine and links(sets[q], sets[i]):
+            if other != mine and links(sets[q], sets[i], rule):
                 out.append((classes[q], classes[i]))
                 root[root == other] = mine
     return out
@@ -198,17 +269,17 @@ def _arrow(df: DataFrame, schema: str, f) -> DataFrame:
     return df.mapInArrow(tidy("ngram_join", f), schema)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, n, class, keys) of every row."""
+def describe(docs: DataFrame, id_col: str, text_col: str, rule: Rule = OP9, common=None) -> DataFrame:
+    """(id, text_key, n, class, keys) of every row; keys are prefixes where a broadcast of common shingles is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, classes, keys = [], [], []
             for t in b.column(2):
-                h = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
+                h = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", rule)
                 n.append(len(h))
                 classes.append(class_of(h) if len(h) else None)
-                keys.append(keys_of(h).view(np.int64))
+                keys.append((keys_of(h, rule) if common is None else prefix_of(h, common.value, rule)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), lists], names=["id", "text_key", "n", "class", "keys"])
@@ -217,30 +288,30 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _arrow(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")), f"id {kind}, text_key long, n long, class binary, keys array<long>", run)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(0)]
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", rule) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["class", "n", "set"])
 
     return _arrow(texts, "class binary, n long, set binary", run)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["u", "v"]).filter(pa.array([links(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_()))
+            yield b.select(["u", "v"]).filter(pa.array([links(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), rule) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_()))
 
     return _arrow(pairs.select("u", "v", "set_u", "set_v"), "u binary, v binary", run)
 
 
-def _searched(tasks: DataFrame) -> DataFrame:
+def _searched(tasks: DataFrame, rule: Rule) -> DataFrame:
     """Links found in each (part, block, chunk) task."""
 
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), _U) for x in table["set"]]
         asks = table["asks"].to_pylist()
-        found = search_block(table["class"].to_pylist(), sets, table["component"].to_pylist(), [i for i, a in enumerate(asks) if a], [i for i, a in enumerate(asks) if not a])
+        found = search_block(table["class"].to_pylist(), sets, table["component"].to_pylist(), [i for i, a in enumerate(asks) if a], [i for i, a in enumerate(asks) if not a], rule)
         settle()
         return pa.table({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([y for _, y in found], pa.binary())})
 
@@ -248,9 +319,11 @@ def _searched(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("part", "block", "chunk").applyInArrow(run, "u binary, v binary")
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = OP9) -> DataFrame:
     """(id, text_key, n_shingles, group_key, component_id) for every row of ``docs``."""
-    rows = durable(describe(docs, id_col, text_col), "rows")
+    if not rule.grouped:
+        return _link_by_prefix(docs, id_col, text_col, rule)
+    rows = durable(describe(docs, id_col, text_col, rule), "rows")
     classes = rows.where(F.size("keys") > 0).dropDuplicates(["class"]).select("class", "text_key", F.explode("keys").alias("key"))
     under = Window.partitionBy("key").orderBy("class")
     chains = (
@@ -262,22 +335,101 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _named(rows, None)
 
     parts = durable(connected_components(chains.select("u", "v")), "parts")
-    # One text stands for each class that has a chain.
-    texts = rows.join(parts.select(F.col("node").alias("class")), "class").groupBy("class").agg(F.min("text_key").alias("text_key")).select("text_key").distinct()
+    sets = _sets_of(docs, text_col, rows, parts.select(F.col("node").alias("class")), rule)
+    best = chains.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    first = durable(_verified(_with_sets(best, sets), rule), "links")
+    joined = connected_components(first).select(F.col("node").alias("class"), "component")
+    return _named(rows, connected_components(first.union(_search_parts(sets, parts, joined, rule))))
+
+
+def _sets_of(docs: DataFrame, text_col: str, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n, set) of ``classes``; one text stands for each."""
+    texts = rows.join(classes, "class").groupBy("class").agg(F.min("text_key").alias("text_key")).select("text_key").distinct()
     texts = durable(texts, "text-keys")
     if texts.count() <= BROADCAST_KEYS:
         texts = F.broadcast(texts)
     near = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_key", F.xxhash64("text"))
     # The Python step of this branch reads text, so keep the hash out of it.
-    sets = durable(_sets(near.join(texts, "text_key", "left_semi").select("text")).dropDuplicates(["class"]), "sets")
+    return durable(_sets(near.join(texts, "text_key", "left_semi").select("text"), rule).dropDuplicates(["class"]), "sets")
 
-    best = chains.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("class").alias("u"), F.col("set").alias("set_u"))
     right = sets.select(F.col("class").alias("v"), F.col("set").alias("set_v"))
-    first = durable(_verified(best.join(left, "u").join(right, "v")), "links")
-    joined = connected_components(first).select(F.col("node").alias("class"), "component")
+    return pairs.select("u", "v").join(left, "u").join(right, "v")
 
-    # What is left: classes outside the largest component of their part.
+
+def _common(docs: DataFrame, text_col: str, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of ``ORDER_TEXTS`` sampled texts have, and the binary logarithm of their number.
+
+    They only set the order of shingles; any order gives every link.
+    """
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes(), rule) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, _U), *sets]).view(np.int64))], names=["h"])
+
+    counted = _arrow(drawn, "h long", run).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    found = counted.orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toArrow()
+    hashes = found["h"].to_numpy().view(_U)
+    turn = np.argsort(hashes)
+    return hashes[turn], np.log2(np.maximum(found["c"].to_numpy(), 1)).astype(np.int8)[turn]
+
+
+def _link_by_prefix(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """As :func:`link_documents`, for similarities at which groups hold too few shingles.
+
+    Sets meet under the prefix of their rarest shingles.  Under a key of up to ``PAIRED`` classes
+    all pairs are counted; of two linked sets, the one whose prefix ends first has there all but
+    the shingles that it may have alone, so pairs that share fewer keys go.  Larger keys are joined by
+    chains and searched as parts.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, rule))
+    rows = durable(describe(docs, id_col, text_col, rule, common), "rows")
+    classes = rows.where(F.size("keys") > 0).dropDuplicates(["class"]).select("class", "n", F.explode("keys").alias("key"))
+    under = Window.partitionBy("key")
+    met = classes.withColumn("size", F.count(F.lit(1)).over(under)).withColumn("before", F.lag("class").over(under.orderBy("class"))).where("size > 1")
+    met = durable(met, "met")
+    if met.isEmpty():
+        return _named(rows, None)
+
+    small, large = met.where(F.col("size") <= PAIRED), met.where(F.col("size") > PAIRED)
+    a = small.select("key", F.col("class").alias("u"), F.col("n").alias("nu"))
+    b = small.select("key", F.col("class").alias("v"), F.col("n").alias("nv"))
+    sized = f"u < v and {rule.percent} * nu <= 100 * nv and {rule.percent} * nv <= 100 * nu"
+    pairs = a.join(b, "key").where(sized).groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
+    under_large = durable(large.groupBy("class").agg(F.count(F.lit(1)).alias("more")), "under-large")
+    for x in "uv":
+        pairs = pairs.join(under_large.select(F.col("class").alias(x), F.col("more").alias(f"more_{x}")), x, "left")
+    both = F.floor((rule.percent * (F.col("nu") + F.col("nv")) + rule.total - 1) / rule.total)
+    must = lambda n: F.floor((rule.apart * n) / 100) + 1 - (n - both)
+    pairs = pairs.where(F.col("shared") + F.least(F.coalesce("more_u", F.lit(0)), F.coalesce("more_v", F.lit(0))) >= F.least(must(F.col("nu")), must(F.col("nv"))))
+    pairs = durable(pairs.select("u", "v", "shared"), "pairs")
+    chains = large.where("before is not null").groupBy(F.col("class").alias("u"), F.col("before").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+    chains = durable(chains, "chains")
+    near = pairs.unionByName(chains)
+    sets = _sets_of(docs, text_col, rows, near.select(F.col("u").alias("class")).union(near.select("v")).distinct(), rule)
+
+    best = near.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    first = durable(_verified(_with_sets(best, sets), rule), "links")
+    joined = durable(connected_components(first).select(F.col("node").alias("class"), "component"), "joined")
+    for x in "uv":
+        pairs = pairs.join(joined.select(F.col("class").alias(x), F.col("component").alias(f"component_{x}")), x, "left")
+    open_ = pairs.where("component_u is null or component_v is null or component_u <> component_v")
+    first = first.union(durable(_verified(_with_sets(open_, sets), rule), "links"))
+    if not chains.isEmpty():
+        parts = durable(connected_components(chains.select("u", "v")), "parts")
+        joined = connected_components(first).select(F.col("node").alias("class"), "component")
+        first = first.union(_search_parts(sets, parts, joined, rule))
+    return _named(rows, connected_components(first))
+
+
+def _search_parts(sets: DataFrame, parts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
+    """Links between components of a part: what is left are classes outside the largest component."""
     members = durable(
         sets.select("class", "n", F.length("set").alias("bytes")).join(parts.select(F.col("node").alias("class"), F.col("component").alias("part")), "class")
         .join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "members",
@@ -290,15 +442,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = durable(placed, "placed")
     blocks = placed.groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     chunks = placed.where("asks").groupBy("part", "chunk").agg(F.min("n").alias("from"), F.max("n").alias("to"))
-    meets = blocks.join(chunks, "part").where("9 * low <= 10 * to and 9 * from <= 10 * high").select("part", "block", "chunk")
+    meets = blocks.join(chunks, "part").where(f"{rule.percent} * low <= 100 * to and {rule.percent} * from <= 100 * high").select("part", "block", "chunk")
     data = sets.select("class", "set")
     tasks = (
         placed.drop("chunk").join(meets, ["part", "block"]).select("part", "block", "chunk", "class", "component", F.lit(False).alias("asks"))
         .unionByName(placed.where("asks").drop("block").join(meets, ["part", "chunk"]).select("part", "block", "chunk", "class", "component", F.lit(True).alias("asks")))
         .join(data, "class")
     )
-    more = durable(_searched(tasks), "more-links")
-    return _named(rows, connected_components(first.union(more)))
+    return durable(_searched(tasks, rule), "more-links")
 
 
 def _named(rows: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -312,12 +463,12 @@ def _named(rows: DataFrame, components: DataFrame | None) -> DataFrame:
     return thin.join(least, "group_key", "left").select("id", "text_key", "n_shingles", "group_key", F.coalesce("least", "id").alias("component_id"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = OP9) -> DataFrame:
     """One row of each group of linked documents: the smallest id, then the smallest text hash.
 
     Rows that go are few as a rule and are removed by an anti-join on (id, text hash).
     """
-    linked = link_documents(docs, id_col, text_col).where("size > 1")
+    linked = link_documents(docs, id_col, text_col, rule).where("size > 1")
     counted = linked.groupBy("group_key", "id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
     rank = F.struct(F.col("id").isNull().alias("absent"), "id", "text_key")
     best = counted.groupBy("group_key").agg(F.min(rank).alias("best"))

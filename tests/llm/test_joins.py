@@ -117,6 +117,80 @@ def test_tree_search_misses_no_link():
                 assert ngram_join.links(sets[q], sets[p]) == ngram_join.links(sets[p], sets[q])
 
 
+def five_word_components(rows, width=5, percent=80):
+    """As ``brute_components``, for shingles of ``width`` words and a similarity of ``percent``."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w)} if 0 < len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("paired", [64, 2])
+def test_near_duplicates_of_five_words_brute_force(spark, rng, monkeypatch, paired):
+    """The pipeline's rule: copies between its threshold and op9's, such as one with a fifth appended, are linked too."""
+    rule = pytest.importorskip("corpus_pipeline").NEAR
+    assert (rule.width, rule.percent) == (5, 80)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "ORDER_TEXTS", 200)
+    texts = []
+    for size in (4, 5, 8, 9, 13, 20, 33, 62, 70, 99, 146, 300, 700):
+        for _ in range(3):
+            base = words(rng, size, 10**6)
+            texts += [base, base.upper(), base + " " + words(rng, size // 5, 10**6), base + " " + words(rng, size // 3, 10**6), " ".join(base.split()[size // 6 :])]
+            texts += [edited(rng, base, e) for e in (1, 2, max(1, size // 100), max(1, size // 60), max(2, size // 50), max(2, size // 40), max(2, size // 20))]
+    passage = words(rng, 120, 10**6)
+    texts += [passage + " " + words(rng, rng.randrange(5, 60), 10**6) for _ in range(90)]
+    rows = list(enumerate(texts + AWKWARD))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = five_word_components(rows)
+    got = ngram_join.link_documents(df, rule=rule).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == want
+    base = words(rng, 150, 10**6)
+    near = spark.createDataFrame([(1, base), (2, base + " " + words(rng, 27, 10**6)), (3, base + " " + words(rng, 90, 10**6))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(corpus_stages())["n-gram Jaccard join"](spark, near, "").collect()) == [1, 3]
+
+
+def corpus_stages():
+    return pytest.importorskip("corpus_pipeline").STAGES
+
+
+@pytest.mark.parametrize("percent", [80, 70, 95])
+def test_every_link_shares_a_key_at_any_similarity(percent):
+    rule, r = ngram_join.Rule(5, percent), random.Random(percent)
+    for n in [rule.least, rule.least + 1, 11, 20, 51, 57, 63, 64, 80, 97, 120, 220, 1000]:
+        for _ in range(30):
+            draw = lambda k: [r.getrandbits(64) for _ in range(k)]
+            a = np.array(sorted(draw(n)), np.uint64)
+            gone, new = r.randrange(2 * n * rule.apart // rule.total + 1), 0
+            while (n - gone) * 100 >= percent * (n + new + 1) and r.random() < 0.95:
+                new += 1
+            if (n - gone) * 100 < percent * (n + new):
+                continue
+            b = np.array(sorted(r.sample(a.tolist(), n - gone) + draw(new)), np.uint64)
+            assert ngram_join.links(a, b, rule)
+            assert (gone == new == 0) or set(ngram_join.keys_of(a, rule).tolist()) & set(ngram_join.keys_of(b, rule).tolist())
+            often = np.array(sorted(r.sample(a.tolist(), n // 2)), np.uint64)
+            p, q = (set(ngram_join.prefix_of(x, (often, np.ones(len(often), np.int8)), rule).tolist()) for x in (a, b))
+            both = -(-percent * (len(a) + len(b)) // rule.total)
+            assert (gone == new == 0) or len(p & q) >= max(1, min(rule.prefix(len(x)) - (len(x) - both) for x in (a, b)))
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert ngram_join.link_documents(empty).count() == 0 and ngram_join.drop_near_duplicates(empty).count() == 0
     few = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A")], "doc_id long, text string")
