@@ -17,7 +17,8 @@ page order by line feeds.  Nothing else is dropped or cut.
 
 Null and empty pages, and pages without main text, give an empty text.  Unclosed and
 stray tags are tolerated as browsers do: a block tag ends an open paragraph, an end tag
-closes what it can find and is ignored otherwise.  Extra columns pass through; ``text``
+closes what it can find and is ignored otherwise, and an unclosed button, select, svg,
+object or template takes nothing of the page with it.  Formulas (math) are text.  Extra columns pass through; ``text``
 and ``n_chars`` replace columns of those names.
 """
 
@@ -41,7 +42,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/][^>]*+>|<[!?][^>]*+(?:>|\Z)", re.S
 )
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "math", "textarea", "select", "button", "iframe", "object", "head", "title")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "textarea", "select", "button", "iframe", "object", "head", "title")}
+#: Content that is markup to a browser: without an end tag, what follows is part of the page.
+_PARSED = frozenset(("svg", "select", "button", "object", "template"))
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -136,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...]]]:
                 continue
             if not m[3].endswith("/"):
                 end = _RAW[tag].search(page, at)
-                at = end.end() if end else size
+                at = end.end() if end else at if tag in _PARSED else size
         elif tag in _BLOCK:
             flush()
             if ending:

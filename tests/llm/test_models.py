@@ -104,6 +104,13 @@ def test_page_by_hand():
     assert html_extract.extract(PAGE, html_extract.default_chain()) == "A & B\nFirst line goes on!\nSecond paragraph.\nQuoted text here."
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "template"])
+def test_unclosed_tag_keeps_the_article(tag):
+    assert [t for t, _ in html_extract.blocks(f"<div>Menu <{tag} class=x>More</div><article><p>Body text.</p></article>")][-1] == "Body text."
+    assert [t for t, _ in html_extract.blocks(f"<p>Before <{tag}>inside</{tag}> after.</p>")] == ["Before after."]
+    assert [t for t, _ in html_extract.blocks("<p>Where <math><mi>x</mi> = <mn>2</mn></math> holds.</p>")] == ["Where x = 2 holds."]
+
+
 def test_extraction_accuracy_on_unseen_layouts():
     chain = html_extract.default_chain()
     right = total = 0
