@@ -11,13 +11,23 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether shuffle files are removed when a statement is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder is made if driver and executors are one process; on a
+    cluster a folder of one machine won't do.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _own_root()
     return root.rstrip("/")
 
 
@@ -30,11 +40,18 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that outlives any executor; columnar and
-    compressed, so it is smaller than an RDD checkpoint.
+    compressed, so it is smaller than an RDD checkpoint.  Once the table is
+    complete nothing reads the shuffles that led to it, and their files go.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
