@@ -2,36 +2,42 @@
 
 The named method (adding one symbol per document each round to a collection's
 Burrows-Wheeler transform) is not used here: it takes as many passes over the whole
-transform as the longest document has bytes.  README.md has the figures.  What it would
-find, equal neighbours of at least ``LENGTH`` symbols in suffix order, is found by
-comparing windows of ``LENGTH`` bytes under keys that only equal windows share:
+transform as a text, or a piece of one, has bytes.  README.md has the figures.  What it
+would find, equal neighbours of at least ``LENGTH`` symbols in suffix order, is found by
+comparing windows of ``LENGTH`` bytes under keys that equal windows share, in three steps
+of the same form, each on what the one before left open:
 
-1. *Anchors.*  In each window the smallest hash of its 32-byte strings (the leftmost of
+1. *Runs.*  In each window the smallest hash of its 64-byte strings (the leftmost of
    equal ones) is its anchor.  Equal windows have equal anchors at equal places, and
-   neighbouring windows mostly share theirs, so a text is a short list of *runs* of
-   windows.  A run is described by its anchor's hash and by a hash of all its bytes and
-   its shape.
-2. *Whole runs.*  Anchors that occur once anywhere settle their runs: nothing in them
-   repeats.  Runs that are equal as a whole to another run repeat as a whole.
-3. *Split runs.*  Only runs whose anchor repeats but which have no equal remain, mostly
-   at the ends of shared passages and around edits.  Their windows are hashed and
-   compared among those of the same anchor, together with one run of each class of
-   equal runs.  Anchors with many such runs are compared by window in an aggregation,
-   so no anchor's runs meet in one task.
-
-Every step is an aggregation or a join on hashes; the number of rows follows the input
-and not the square of any group.  Hashes have 64 bits over at most a few hundred bytes.
+   neighbouring windows mostly share theirs, so a text is a short list of runs of
+   windows.  Their key is the anchor's hash; they also carry a hash of all their bytes
+   and their shape.  A key that occurs once settles its runs: nothing in them repeats.
+   Runs that are equal as a whole to another run repeat as a whole.
+2. *Strips.*  What remains is cut into strips of up to ``STRIP`` windows, at fixed
+   distances from the anchor.  All windows that can be in a strip hold the same middle
+   bytes, so the key of a strip is (anchor, hash of the middle); it also carries a hash
+   of all its bytes and its shape, and is settled like a run.
+3. *Windows.*  Only strips whose middle repeats but which have no equal remain: at most
+   one at each end of a repeat.  Their windows are counted by (anchor, hash).
+
+Of equal runs or strips one goes on, for the others' comparison.  Every step is an
+aggregation and a join with its result, whose rows are those that went in: the number of
+rows follows the input and not the square of any group, there is one path for groups of
+all sizes, and no group's rows have to meet in one task.  Two strings are equal where two
+64-bit hashes are, that of the anchor and that of the string.
 
 Null texts are empty.  Matches never cross documents.  Repeated rows are each other's
 copies; rows are told apart by (id, text hash), which only rows with the same result
-share.  Texts of any length are processed whole.
+share.  Texts of any length are processed whole.  An empty table gives an empty result;
+other columns of the input are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +45,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.workspace import tidy
-from barloom.session import durable, ship_package
+from barloom.session import durable, release, ship_package
 
 LENGTH = 200
-ANCHOR = 32
-#: Windows compared in one task at a time (8 bytes each).
-TASK_WINDOWS = 1_000_000
-#: Anchors with more unsettled runs than this are compared window by window.
-HOT = 2_000
-#: Tables are broadcast up to so many rows of their kind.
-BROADCAST_ANCHORS = 3_000_000
-BROADCAST_LISTS = 6_000_000
+ANCHOR = 64
+#: Windows in a strip.
+STRIP = 12
+#: Tables are broadcast up to so many bytes in memory; beyond, their joins shuffle.
+BROADCAST_BYTES = 96_000_000
+#: Bytes in memory of a row of hashes, and of an entry of a list of runs or spans.
+ROW_BYTES, ENTRY_BYTES = 64, 48
+#: Windows that a Python worker gathers before it hands strips on.
+BATCH_WINDOWS = 500_000
 #: Longer texts are hashed piece by piece.
 PIECE = 1 << 21
 
@@ -120,18 +127,47 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
-def windows(data: bytes, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Hashes of the windows of each of the given runs, which are in order."""
+def _ragged(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... for ``size`` numbers each."""
+    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+class Strips(NamedTuple):
+    """Strips of listed runs: which run, key and hash of all bytes, first window, hashes of the windows (``size`` each)."""
+
+    run: np.ndarray
+    key: np.ndarray
+    region: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+
+
+def strips(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> Strips:
+    """The strips of the given runs (anchor hash, first and last window) of a text."""
     x = np.frombuffer(data, np.uint8)
-    out: list[np.ndarray] = []
-    base, h = -1, None
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if a // PIECE != base:
-            base = a // PIECE
-            h = Hashes(x[base * PIECE : (base + 1) * PIECE + length - 1])
-        s = np.arange(a, b + 1) - base * PIECE
-        out.append(h.parts(s, s + length))
-    return out
+    wide = min(ANCHOR, length)
+    strip = min(STRIP, length - wide + 1)
+    out = []
+    for base in np.unique(first // PIECE).tolist():
+        own = np.flatnonzero(first // PIECE == base)
+        h = Hashes(x[base * PIECE : (base + 1) * PIECE + length - 1])
+        low, high = first[own] - base * PIECE, last[own] - base * PIECE
+        # The anchor stands at the first place in all windows of the run where its hash is found.
+        tries = low + length - wide + 1 - high
+        at = _ragged(high, tries)
+        found = np.where(h.parts(at, at + wide) == np.repeat(anchor[own], tries), at, np.iinfo(np.int64).max)
+        place = np.minimum.reduceat(found, np.cumsum(tries) - tries)
+        size = high - low + 1
+        window, run = _ragged(low, size), np.repeat(np.arange(len(own)), size)
+        step = (place[run] - window) // strip
+        opens = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (run[1:] != run[:-1])]))
+        run, step, count = run[opens], step[opens], np.diff(np.append(opens, len(window)))
+        start, middle = window[opens], place[run] - step * strip
+        key = _mix(h.parts(middle, middle + length - strip + 1) + step.astype(_U) * _SHAPE[0])
+        region = _mix(h.parts(start, start + count - 1 + length) + (place[run] - start).astype(_U) * _SHAPE[0] + (count - 1).astype(_U) * _SHAPE[1])
+        out.append(Strips(own[run], key, region, start + base * PIECE, count, h.parts(window, window + length)))
+    return Strips(*(np.concatenate(p) for p in zip(*out, strict=True)))
 
 
 def _bytes(text: pa.Scalar) -> bytes:
@@ -159,107 +195,113 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(tidy("suffix_dedup", run), f"id {kind}, text_key long, n long, anchors array<long>, regions array<long>, firsts array<long>")
 
 
-def _hash_windows(listed: DataFrame, length: int) -> DataFrame:
-    """(anchor, hot, stands_for, id, text_key, first, hashes) of the runs listed with each text."""
+def _strip_rows(listed: DataFrame, length: int) -> DataFrame:
+    """A row for each strip of the runs listed with each text."""
+    kind = listed.schema["id"].dataType.simpleString()
+    schema = f"anchor long, key long, region long, shared boolean, id {kind}, text_key long, first long, size long, hashes array<long>"
+    names = ["anchor", "key", "region", "shared", "id", "text_key", "first", "size", "hashes"]
+
+    def batch(b: pa.RecordBatch, rows: list[tuple[int, Strips, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        join = lambda f: np.concatenate([f(r) for r in rows])
+        size = join(lambda r: r[1].size)
+        offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        take = pa.array(np.repeat([r[0] for r in rows], [len(r[1].key) for r in rows]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(join(lambda r: r[2][r[1].run])), pa.array(join(lambda r: r[1].key).view(np.int64)), pa.array(join(lambda r: r[1].region).view(np.int64)), pa.array(join(lambda r: r[3][r[1].run])),
+                b.column(0).take(take), b.column(1).take(take), pa.array(join(lambda r: r[1].first)), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(join(lambda r: r[1].hashes).view(np.int64))),
+            ],
+            names=names,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {k: [] for k in ("anchor", "hot", "shared", "row", "first")}
-            hashes = []
-            for i, (t, own) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                own = sorted(own.as_py(), key=lambda r: r["first"])
-                first, last = (np.array([r[k] for r in own], np.int64) for k in ("first", "last"))
-                hashes += windows(_bytes(t), first, last, length)
-                for r in own:
-                    for k in ("anchor", "hot", "shared", "first"):
-                        rows[k].append(r[k])
-                rows["row"] += [i] * len(own)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.empty(0, np.int64)))
-            take = pa.array(rows["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["anchor"], pa.int64()), pa.array(rows["hot"], pa.bool_()), pa.array(rows["shared"], pa.bool_()), b.column(0).take(take), b.column(1).take(take), pa.array(rows["first"], pa.int64()), lists],
-                names=["anchor", "hot", "shared", "id", "text_key", "first", "hashes"],
-            )
-
-    kind = listed.schema["id"].dataType.simpleString()
-    return listed.mapInArrow(tidy("suffix_dedup", run), f"anchor long, hot boolean, shared boolean, id {kind}, text_key long, first long, hashes array<long>")
+            rows, held = [], 0
+            lists = b.column(3)
+            ends, runs_ = lists.offsets.to_numpy(), lists.values
+            fields = {k: runs_.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "shared", "first", "last")}
+            for i, t in enumerate(b.column(2)):
+                own = slice(ends[i], ends[i + 1])
+                anchor, shared, first, last = (fields[k][own] for k in ("anchor", "shared", "first", "last"))
+                found = strips(_bytes(t), anchor.view(_U), first, last, length)
+                rows.append((i, found, anchor, shared))
+                held += len(found.hashes)
+                if held >= BATCH_WINDOWS:
+                    yield batch(b, rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(b, rows)
+
+    return listed.mapInArrow(tidy("suffix_dedup", run), schema)
+
+
+def _small(table: DataFrame, entries: int | None = None) -> DataFrame:
+    """``table``, to be broadcast where it is known to be small enough."""
+    size = table.count() * ROW_BYTES if entries is None else entries * ENTRY_BYTES
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
-def _compare(hashed: DataFrame, length: int) -> DataFrame:
-    """(id, text_key, start, end): repeated windows, merged, of runs whose anchors are together in a partition."""
+def repeated_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(list_id, list_key, own): what goes from each text, as maximal spans.  Takes ``rows`` and releases it."""
+    span = lambda t, last: t.select("id", "text_key", F.col("first").alias("start"), (last + length).alias("end"))
+    held: list[DataFrame] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        lists = table["hashes"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        h, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum()
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        # Maximal stretches of repeated windows inside one run.
-        starts = np.concatenate([[0], ends[:-1]])
-        opens = again & ~np.concatenate([[False], again[:-1]])
-        opens[starts[again[starts]]] = True
-        closes = again & ~np.concatenate([again[1:], [False]])
-        closes[(ends - 1)[again[ends - 1]]] = True
-        a, z = np.flatnonzero(opens), np.flatnonzero(closes)
-        row = np.searchsorted(ends, a, "right")
-        own = ~table["shared"].to_numpy(zero_copy_only=False)[row]
-        a, z, row = a[own], z[own], row[own]
-        first = table["first"].to_numpy()[row] - starts[row]
-        take = pa.array(row)
-        for b in pa.table({"id": table["id"].take(take), "text_key": table["text_key"].take(take), "start": pa.array(first + a), "end": pa.array(first + z + length)}).combine_chunks().to_batches(max_chunksize=10_000):
-            yield b
-
-    kind = hashed.schema["id"].dataType.simpleString()
-    return hashed.mapInArrow(tidy("suffix_dedup", run), f"id {kind}, text_key long, start long, end long")
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        held.append(durable(table, name))
+        return held[-1]
 
+    def merged(*spans: DataFrame) -> DataFrame:
+        out = durable(merged_spans(reduce(DataFrame.unionByName, spans)), "spans")
+        for t in held:
+            release(t)
+        return out
 
-def repeated_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """(id, text_key, start, end), not merged: what goes from each text."""
     spread = rows.select("id", "text_key", "n", "anchors", "regions", "firsts", F.posexplode("firsts").alias("i", "first")).select(
         "id", "text_key", F.expr("anchors[i]").alias("anchor"), F.expr("regions[i]").alias("region"), "first",
         F.expr(f"coalesce(get(firsts, i + 1), n - {length} + 1) - 1").alias("last"),
     )
-    anchors = durable(
-        spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("region").alias("low"), F.max("region").alias("high"))
-        .where("runs > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors",
-    )
-    hint = F.broadcast if anchors.count() <= BROADCAST_ANCHORS else (lambda x: x)
-    near = spread.join(hint(anchors), "anchor")
-    # Classes of equal runs under anchors that have more than one.
-    classes = durable(near.where("mixed").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("runs"), F.min(F.struct("id", "text_key", "first", "last")).alias("at")), "classes")
-    shared = classes.where("runs > 1").select("anchor", "region")
-    whole = near.where("not mixed").unionByName(near.where("mixed").join(shared, ["anchor", "region"]).select(near.columns))
-    whole = whole.select("id", "text_key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    counted = classes.groupBy("anchor").agg(F.sum(F.when(F.col("runs") == 1, 1).otherwise(0)).alias("open"), F.sum(F.col("at.last") - F.col("at.first") + 1).alias("windows"))
-    size = counted.where("open > 0").agg(F.sum(F.when(F.col("open") <= HOT, F.col("windows")).otherwise(0)).alias("w"), F.sum("open").alias("runs")).first()
-    if not size["runs"]:
-        return whole
-    todo = classes.join(counted.where("open > 0").select("anchor", (F.col("open") > HOT).alias("hot")), "anchor")
-    one = F.struct("anchor", "hot", (F.col("runs") > 1).alias("shared"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))
-    lists = durable(todo.groupBy(F.col("at.id").alias("list_id"), F.col("at.text_key").alias("list_key")).agg(F.collect_list(one).alias("own")), "lists")
-    listed = _with_lists(docs, lists, "inner", size["runs"]).select("id", "text_key", "text", "own")
-    hashed = durable(_hash_windows(listed, length), "windows")
-
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["w"] or 0) // TASK_WINDOWS))
-    split = _compare(hashed.where("not hot").repartition(parts, "anchor"), length)
-    single = hashed.where("hot").select("shared", "id", "text_key", F.posexplode("hashes").alias("i", "window"), "first")
-    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = single.where("not shared").join(twice, "window").select("id", "text_key", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + length).alias("end"))
-    return whole.unionByName(split).unionByName(hot)
+    repeats = (F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
+    mixed = (F.col("low") != F.col("high")).alias("mixed")
+
+    # Runs.
+    anchors = keep(spread.groupBy("anchor").agg(*repeats).where("n > 1").select("anchor", mixed), "anchors")
+    near = keep(spread.join(_small(anchors), "anchor"), "near")
+    release(rows)
+    classes = keep(near.where("mixed").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key", "first", "last")).alias("at")), "classes")
+    equal = keep(classes.where("n > 1").select("anchor", "region"), "equal")
+    whole = near.where("not mixed").unionByName(near.where("mixed").join(_small(equal), ["anchor", "region"]).select(near.columns))
+    runs_ = span(whole, F.col("last"))
+    open_ = classes.groupBy("anchor").agg(F.min("n").alias("least")).where("least = 1").select("anchor")
+    one = F.struct("anchor", (F.col("n") > 1).alias("shared"), F.col("at.first").alias("first"), F.col("at.last").alias("last"))
+    lists = classes.join(open_, "anchor").groupBy(F.col("at.id").alias("list_id"), F.col("at.text_key").alias("list_key")).agg(F.sort_array(F.collect_list(one)).alias("own"))
+    lists = keep(lists, "lists")
+    entries = lists.agg(F.sum(F.size("own")).alias("n")).first()["n"]
+    if not entries:
+        return merged(runs_)
+
+    # Strips.
+    listed = _with_lists(docs, lists, "inner", entries).select("id", "text_key", "text", "own")
+    cut_up = keep(_strip_rows(listed, length), "strips")
+    keys = keep(cut_up.groupBy("anchor", "key").agg(*repeats).where("n > 1").select("anchor", "key", mixed), "keys")
+    met = keep(cut_up.join(_small(keys), ["anchor", "key"]), "met")
+    held.remove(cut_up)
+    release(cut_up)
+    last = F.col("first") + F.col("size") - 1
+    split = met.where("mixed")
+    one = F.struct("shared", "id", "text_key", "first", "hashes")
+    kinds = keep(split.groupBy("anchor", "key", "region").agg(F.count(F.lit(1)).alias("n"), F.first(one).alias("at")), "kinds")
+    equal = keep(kinds.where("n > 1").select("anchor", "key", "region"), "equal")
+    strips_ = span(met.where("not mixed and not shared"), last).unionByName(span(split.where("not shared").join(_small(equal), ["anchor", "key", "region"]), last))
+
+    # Windows.
+    single = kinds.select("anchor", (F.col("at.shared") | (F.col("n") > 1)).alias("shared"), "at.id", "at.text_key", F.col("at.first").alias("from"), F.posexplode("at.hashes").alias("i", "window"))
+    twice = keep(single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window"), "twice")
+    hit = single.where("not shared").join(_small(twice), ["anchor", "window"]).withColumn("first", F.col("from") + F.col("i"))
+    return merged(runs_, strips_, span(hit, F.col("first")))
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str, entries: int) -> DataFrame:
-    if entries <= BROADCAST_LISTS:
-        lists = F.broadcast(lists)
+    lists = _small(lists, entries)
     return docs.join(lists, docs["text_key"].eqNullSafe(lists["list_key"]) & docs["id"].eqNullSafe(lists["list_id"]), how)
 
 
@@ -277,7 +319,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = durable(describe(docs, length), "runs")
-    lists = durable(merged_spans(repeated_spans(docs, rows, length)), "spans")
+    lists = repeated_spans(docs, rows, length)
     entries = lists.agg(F.sum(F.size("own")).alias("n")).first()["n"] or 0
     joined = _with_lists(docs, lists, "left", entries + lists.count()).select("id", "text", "own")
 

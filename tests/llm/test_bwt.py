@@ -42,7 +42,7 @@ def test_windows_of_the_operator_are_those_of_the_transform():
     hashes = {}
     for i, d in enumerate(docs):
         if len(d) >= 40:
-            for s, h in enumerate(suffix_dedup.windows(d, np.array([0]), np.array([len(d) - 40]), 40)[0].tolist()):
+            for s, h in enumerate(suffix_dedup.Hashes(np.frombuffer(d, np.uint8)).every(40).tolist()):
                 hashes.setdefault(h, []).append((i, s))
     assert bwt.repeated_windows(docs, 40) == {x for own in hashes.values() if len(own) > 1 for x in own}
 
@@ -54,6 +54,23 @@ def test_runs_cover_every_window_once():
     assert first[0] == 0 and (np.diff(first) > 0).all() and first[-1] <= len(d) - 200 and len(anchors) == len(regions) == len(first)
 
 
+def test_strips_cover_their_runs_and_equal_windows_share_a_key():
+    r = random.Random(5)
+    shared = bytes(r.choice(b"abcdefgh") for _ in range(700))
+    docs = [bytes(r.choice(b"abcdefgh") for _ in range(r.randrange(400))) + shared[r.randrange(200) :] for _ in range(6)]
+    keys = {}
+    for d in docs:
+        anchors, _, first = suffix_dedup.runs(d, 200)
+        last = np.append(first[1:], len(d) - 199) - 1
+        found = suffix_dedup.strips(d, anchors, first, last, 200)
+        at = np.concatenate([np.arange(f, f + n) for f, n in zip(found.first, found.size, strict=True)])
+        assert (at == np.arange(len(d) - 199)).all() and found.size.max() <= suffix_dedup.STRIP
+        for a, k, f, n in zip(anchors[found.run].tolist(), found.key.tolist(), found.first.tolist(), found.size.tolist(), strict=True):
+            for s in range(f, f + n):
+                keys.setdefault(d[s : s + 200], set()).add((a, k))
+    assert all(len(own) == 1 for own in keys.values())
+
+
 def test_cost_grows_with_rounds_times_rows():
     """The reason for not using it on whole documents."""
     r = random.Random(1)

@@ -221,11 +221,10 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "limit"), [(2_000, 6_000_000), (2, 6_000_000), (2, -1)])
-def test_repeated_strings_brute_force(spark, rng, monkeypatch, hot, limit):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_LISTS", limit)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", limit)
+@pytest.mark.parametrize(("strip", "limit"), [(12, 48_000_000), (1, 48_000_000), (12, -1), (200, -1)])
+def test_repeated_strings_brute_force(spark, rng, monkeypatch, strip, limit):
+    monkeypatch.setattr(suffix_dedup, "STRIP", strip)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 10)
     monkeypatch.setattr(suffix_dedup, "_PLACE", np.uint64((1 << 11) - 1))
     passages = [words(rng, n, 10**6) for n in (30, 40, 90)]
@@ -239,6 +238,19 @@ def test_repeated_strings_brute_force(spark, rng, monkeypatch, hot, limit):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_a_hot_passage_with_many_surroundings(spark, rng):
+    """One passage in most texts, cut at any byte at both ends, beside copies of the whole."""
+    passage = words(rng, 60, 10**6)
+    texts = []
+    for i in range(400):
+        a, b = rng.randrange(120), rng.randrange(len(passage) - 120, len(passage))
+        texts.append(words(rng, rng.randrange(20), 10**6) + passage[a:b] + words(rng, rng.randrange(20), 10**6))
+        if i % 10 == 0:
+            texts.append(texts[-1])
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_cut([t.encode() for t in texts], 200)))
+
+
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.cut(empty).count() == 0
 
