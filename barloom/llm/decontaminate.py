@@ -21,7 +21,8 @@ rows: candidates then meet their documents in a second join.
 Results depend on the text alone, so they are computed per distinct text and joined
 back; copies in any number cost one row each.  Null texts have no words.  Repeated
 rows and null ids each get their result.  Extra columns pass through; the added
-names replace any that clash.
+names replace any that clash.  Helper columns that meet the input's begin with two
+underscores; names of that form are reserved.
 """
 
 from __future__ import annotations
@@ -129,12 +130,12 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", **o
         .groupBy("text_key").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "until"))).cast("bigint").alias("n_hit"))
     )
     which = hits.groupBy("text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    result = covered.join(which, "text_key")
+    result = covered.join(which, "text_key").select(F.col("text_key").alias("__hit_key"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items"))
     names = [c for c in docs.columns if c not in ADDED]
-    keyed = docs.select(*names, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key"), F.size(words_of(F.col(text_col))).cast("bigint").alias("n_words"))
-    return keyed.join(result, "text_key", "left").select(
-        *names, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    keyed = docs.select(*names, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__key"), F.size(words_of(F.col(text_col))).cast("bigint").alias("__n_words"))
+    return keyed.join(result, F.col("__key") == F.col("__hit_key"), "left").select(
+        *names, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(F.size("__items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("__n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
@@ -143,11 +144,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     Only the digests of contaminated texts are joined with the rows.
     """
-    hits = durable(find_hits(docs, items, text_col, **options).select("text_key").distinct(), "hit-texts")
+    hits = durable(find_hits(docs, items, text_col, **options).select(F.col("text_key").alias("__hit_key")).distinct(), "hit-texts")
     if hits.count() <= 1_000_000:  # 100 MB of digests
         hits = F.broadcast(hits)
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("text_key"), "left_anti").select(*docs.columns)
+    return docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("__hit_key"), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -17,7 +17,8 @@ broadcast; a larger one is joined by block, with the text left behind.
 Of equal texts the row with the most code points stays, then the smallest
 ``doc_id`` (null ids last), then the smallest hash of the whole row; of rows
 identical in every column one is kept.  A null text counts as empty.  Columns of
-the input pass through; the added names replace any that clash.
+the input pass through; the added names replace any that clash.  Helper columns begin
+with two underscores; names of that form are reserved.
 """
 
 from __future__ import annotations
@@ -59,13 +60,13 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def repeat_filter(keyed: DataFrame) -> DataFrame:
-    """(block, bits): the Bloom filter of hashes that may occur more than once."""
+    """(__at, __bits), block and bits: the Bloom filter of hashes that may occur more than once."""
     return (
         keyed.groupBy("__block", "__mask")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .groupBy(F.col("__block").alias("block"))
-        .agg(F.bit_or("__mask").alias("bits"))
+        .groupBy(F.col("__block").alias("__at"))
+        .agg(F.bit_or("__mask").alias("__bits"))
     )
 
 
@@ -88,9 +89,9 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bloom = durable(repeat_filter(keyed.select("__block", "__mask")), "repeat-filter")
     if bloom.count() <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
-    probed = keyed.join(bloom, keyed["__block"] == bloom["block"], "left").withColumn(
-        "__maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
-    ).drop("block", "bits", "__block", "__mask")
+    probed = keyed.join(bloom, keyed["__block"] == bloom["__at"], "left").withColumn(
+        "__maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
+    ).drop("__at", "__bits", "__block", "__mask")
 
     unique = probed.where(~F.col("__maybe")).select(
         *names, F.col(id_col).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
