@@ -8,18 +8,26 @@ Training minimises the non-negative unbiased risk of positive-unlabelled learnin
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
-with the logistic loss, over trusted positives (rows labelled 1) and unlabelled rows
-(any others, their labels unseen).  Where the second term is negative the step goes the
-other way, which keeps the model from explaining away positives.  The class prior
-``pi`` is the labelled share of positives, shrunk to the middle by one row each way.
+with the logistic loss, over trusted positives (rows labelled 1) and unlabelled rows (a
+draw of all documents outside the held-out fold; labels of 0 are never read).  Where the
+second term is negative the step goes the other way, which keeps the model from explaining
+away positives.  Steps shrink to nothing and the weights are the mean of the second half's.
+
+The class prior ``pi`` is estimated from positives and unlabelled rows alone.  A first
+model is trained on half of the positives; above any score, the share of unlabelled rows
+is at least ``pi`` times the share of positives that it hasn't seen, so the least ratio of
+the two over several scores, with one standard error for the positives, is the estimate
+(the mean of both halves').
 
 Only features of a bounded sample reach the driver: the ``sample`` positives and the
 ``sample`` unlabelled rows whose ids hash lowest.  Scoring covers every row.
 
 The score is the model's probability of label 1; it depends on the text only.
 Null and empty texts get the score of all-zero shares.  Ties and repeated rows are
-harmless: a score is a function of its row.  With no positives in the labels every
-score is 0.5.
+harmless: a score is a function of its row.  With no positives in the labels, or no other
+document, every score is 0.5.  Extra columns pass through; ``score``, ``held_out`` and
+``predicted`` replace columns of those names in ``classify``, and ``drop_low_quality``
+returns the columns it was given with their own values.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.workspace import tidy
+from barloom.llm.workspace import private, tidy
 from barloom.session import ship_package
 
 #: At most so many positives and so many unlabelled rows are gathered for training.
@@ -81,26 +89,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> Model:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_step(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of positives as such, rest of the risk, and the step's gradient by the scores of positives and unlabelled rows."""
+    softplus = lambda z: np.logaddexp(0, z)
+    rest = softplus(zu).mean() - prior * softplus(zp).mean()
+    as_positive = -prior * (1 - _sigmoid(zp)) / len(zp)
+    gp, gu = -prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    return prior * softplus(-zp).mean(), rest, *((as_positive + gp, gu) if rest >= 0 else (-gp, -gu))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-2) -> Model:
     """Full-batch Adam on the non-negative risk; no random numbers."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((a - mean) / scale, -6, 6) for a in (positive.astype(np.float64), unlabelled.astype(np.float64)))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    softplus = lambda z: np.logaddexp(0, z)
+    x = np.zeros(p.shape[1] + 1)
+    m, v, late = (np.zeros_like(x) for _ in range(3))
     for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        rest = softplus(zu).mean() - prior * softplus(zp).mean()
-        gp_pos = -prior * (1 - sigmoid(zp)) / len(p)  # of the loss of positives as positives
-        gp_neg, gu_neg = -prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        gp, gu = (gp_pos + gp_neg, gu_neg) if rest >= 0 else (-gp_neg, -gu_neg)
+        w, b = x[:-1], x[-1]
+        _, _, gp, gu = risk_step(p @ w + b, u @ w + b, prior)
         g = np.append(gp @ p + gu @ u + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(mean, scale, w, b)
+        x = x - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        late += x * (t > steps // 2)
+    x = late / (steps - steps // 2)
+    return Model(mean, scale, x[:-1], x[-1])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows; 0.5 where there is but one positive."""
+    if len(positive) < 2:
+        return 0.5
+    found = []
+    for seen, rest in ((positive[::2], positive[1::2]), (positive[1::2], positive[::2])):
+        model = train(seen, unlabelled, 0.5)
+        of_rest, of_all = model.score(rest.astype(np.float64)), model.score(unlabelled.astype(np.float64))
+        cuts = np.quantile(of_rest, np.linspace(0.05, 0.5, 10))
+        found.append(min((of_all >= c).mean() / ((of_rest >= c).mean() + len(rest) ** -0.5) for c in cuts))
+    return float(np.clip(np.mean(found), 0.05, 0.95))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,21 +150,22 @@ def _with_features(docs: DataFrame, columns: list[str], text_col: str) -> DataFr
     return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(tidy("quality", run), schema)
 
 
+def _drawn(ids: DataFrame, id_col: str, seed: int, sample: int) -> DataFrame:
+    """The ``sample`` ids whose hashes are lowest."""
+    rank = F.xxhash64(F.col(id_col), F.lit(seed))
+    # Twice the share that is needed is sorted, not all ids.
+    share = 2 * sample / max(ids.count(), 1)
+    near = ids.where(rank < int((share - 0.5) * (1 << 64))) if share < 0.5 else ids
+    return near.distinct().orderBy(rank, id_col).limit(sample)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Train on the labels outside the held-out fold; None where there is no positive."""
-    rank = F.xxhash64(F.col(id_col), F.lit(17))
-    # Labels are joined by id: one label an id, the highest if they disagree.
-    known = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("quality").alias("quality")).where("quality is not null")
-    stats = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("p")).first()
-    if not stats["p"]:
-        return None
-    prior = (stats["p"] + 1) / (stats["n"] + 2)
-    # Positives: labelled 1.  Unlabelled: a draw of the same labelled population with the labels unseen, so the prior is its own.
-    chosen = (
-        known.withColumn("r", rank).where("quality = 1").orderBy("r", id_col).limit(sample).select(id_col, F.lit(1).alias("positive"))
-        .unionByName(known.withColumn("r", F.xxhash64(F.col(id_col), F.lit(29))).orderBy("r", id_col).limit(sample).select(id_col, F.lit(0).alias("positive")))
-    )
-    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).where(F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col)
+    """Train on positives and on documents outside the held-out fold; None where there is no positive."""
+    ids = docs.select(id_col).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    # Labels are joined by id: an id is positive if any of its labels is.
+    trusted = labels.where("quality = 1").select(id_col).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).distinct()
+    chosen = _drawn(trusted, id_col, 17, sample).withColumn("positive", F.lit(1)).unionByName(_drawn(ids, id_col, 29, sample).withColumn("positive", F.lit(0)))
+    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
     # One text an id, however often the id is repeated.
     picked = found.groupBy("positive", id_col).agg(F.min("text").alias("text"))
     rows = _with_features(picked, ["positive", id_col], "text").orderBy("positive", id_col).select("positive", "x").collect()  # at most 2 * sample rows of 400 bytes
@@ -142,13 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     positive = np.array([r["positive"] == 1 for r in rows], bool)
     if not positive.any() or positive.all():
         return None
-    return train(x[positive], x[~positive], prior)
+    return train(x[positive], x[~positive], estimate_prior(x[positive], x[~positive]))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns ``keep``) with ``score``."""
-    keep = [c for c in (keep or docs.columns) if c != "score"]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``docs`` (or the columns ``keep``) with the score as column ``name``."""
+    keep = [c for c in (keep or docs.columns) if c != name]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +200,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    return classify(docs, labels, id_col, text_col).where("predicted = 1").select(*docs.columns)
+    name = private("__score", docs.columns)
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, name=name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def crc32_fold(doc_id: int) -> int:
