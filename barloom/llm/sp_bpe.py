@@ -16,7 +16,11 @@ Where no piece has a space mark inside, or mixes letters with certain marks (bot
 checked when the model is loaded), runs between them are independent and the ids of
 recent runs are kept, up to ``CACHE`` a worker.
 
-A null text is empty and has no ids; texts of any length are encoded whole.
+A null text is empty and has no ids; texts of any length are encoded whole.  Each row
+gets its own result, repeated rows too; an empty table gives an empty one.  Extra columns
+pass through ``encode_texts`` and ``decode_ids``, where ``ids`` and ``decoded`` replace
+columns of those names; ``digest_texts`` reads id and text only.  The model file is sent
+from the driver to the workers.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import BYTE, CONTROL, SPACE, UNKNOWN, independent_runs, load, splits_at_spaces
-from barloom.llm.workspace import keep, tidy
+from barloom.llm.workspace import keep, ship_file, tidy
 from barloom.session import ship_package
 
 #: Runs whose ids a worker keeps, in each of two generations (about 400 bytes each).
@@ -209,9 +213,10 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", ids_col: s
     """``docs`` with the ids of each text."""
     keep = [c for c in docs.columns if c != ids_col]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    where = ship_file(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(where())
         for b in batches:
             ids = pa.array([c.encode(t or "") for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
@@ -224,9 +229,10 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     """``df`` with the text of its ids; null ids give an empty text."""
     keep = [c for c in df.columns if c != text_col]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(text_col, T.StringType())])
+    where = ship_file(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(where())
         for b in batches:
             texts = pa.array([c.decode(i or ()) for i in b.column(b.schema.get_field_index(ids_col)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, text_col])
@@ -238,9 +244,10 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", text_col: str =
 def digest_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded a word at a time."""
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    where = ship_file(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(where())
         for b in batches:
             found = [c.digest(t.as_py() or "") for t in b.column(1)]
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())

@@ -12,7 +12,14 @@ Scores are added in double precision.  The scores in the vocabulary file are who
 numbers, so sums are exact and words can be counted one by one where no piece has a
 space mark inside; counts of recent words are kept, up to ``CACHE`` words a worker.
 
-A null text is empty and has no tokens; texts of any length are counted whole.
+A null text is empty and has no tokens; texts of any length are counted whole.  Each row
+gets its own count, repeated rows too; an empty table gives an empty one.  Only id and
+text are read, so other columns can't clash.  The vocabulary file is sent from the driver
+to the workers.
+
+The vocabularies at hand are of merge-type tokenizers: their scores are merge ranks, not
+log-probabilities.  Read as a unigram model they give exact counts of that model, and of
+no tokenizer that was trained as one.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.pieces import SPACE, independent_runs, load, splits_at_spaces
-from barloom.llm.workspace import keep, tidy
+from barloom.llm.workspace import keep, ship_file, tidy
 from barloom.session import ship_package
 
 CACHE = 200_000
@@ -105,9 +112,10 @@ def counter(path: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, n_tokens) of every text."""
     schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    where = ship_file(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary)
+        c = counter(where())
         for b in batches:
             sizes, counts = [], []
             for t in b.column(1):

@@ -8,9 +8,12 @@ freed memory goes back to the system when a task ends.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 _KEPT: dict[str, Callable[[], None]] = {}
 
@@ -44,3 +47,21 @@ def tidy(owner: str, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             settle()
 
     return run
+
+
+def private(name: str, columns: Iterable[str]) -> str:
+    """``name``, or a longer one that none of ``columns`` has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ship_file(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Send a file of the driver to the workers; what is returned gives its path there."""
+    name = os.path.basename(path)
+    sent = spark.sparkContext.__dict__.setdefault("_barloom_files", {})
+    if sent.setdefault(name, path) != path:
+        raise ValueError(f"another file named {name} was sent before")
+    spark.sparkContext.addFile(path)
+    return lambda: SparkFiles.get(name)
