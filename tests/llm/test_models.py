@@ -94,6 +94,42 @@ def test_viterbi_brute_force(model):
         assert own.viterbi(t)[0] == best(t)
 
 
+def test_viterbi_ties():
+    """Of equal scores the piece that starts earliest wins, against every segmentation of short texts."""
+    import ahocorasick
+
+    scores = {"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0, "aba": -3.0, "bb": -1.0, "aab": -3.0}
+    own = token_count.UnigramCounter.__new__(token_count.UnigramCounter)
+    own.single, own.unknown, own.automaton = {"a", "b"}, -13.0, ahocorasick.Automaton()
+    for p, x in scores.items():
+        own.automaton.add_word(p, (len(p), x))
+    own.automaton.make_automaton()
+
+    def best(t):
+        """(score, count), the last piece as long as can be among equals."""
+        if not t:
+            return 0.0, 0
+        found = [(best(t[:-n])[0] + scores[t[-n:]], n) for n in range(1, len(t) + 1) if t[-n:] in scores]
+        if t[-1] not in "ab":
+            found.append((best(t[:-1])[0] - 13.0, 1))
+        top, n = max(found)
+        return top, best(t[:-n])[1] + (1 if t[-1] in "ab" else len(t[-1].encode()))
+
+    from itertools import product
+
+    for k in range(1, 8):
+        for t in map("".join, product("ab", repeat=k)):
+            assert own.viterbi(t) == best(t), t
+    assert own.viterbi("aéb") == best("aéb") == (-15.0, 4)
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    body = [f"Sentence number {i} of a very long story." for i in range(20_000)]
+    page = "<nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in body) + "</article><footer>&copy; us</footer>"
+    r = html_extract.extract_text(spark.createDataFrame([(1, page, 7, "label", "x")], "page_id long, html string, n_chars int, hint string, features string")).first()
+    assert r.text == "\n".join(body) and r.n_chars == len(r.text) and (r.hint, r.features) == ("label", "x")
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header class="site-header"><p>Brand</p></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div><article><h1>A &amp; B</h1><p>First  line<br>goes <b>on</b>&#33;
 <p>Second paragraph.</p><div class="ad">Buy now.</div><blockquote><p>Quoted text here.</p></blockquote></article><aside class="sidebar"><h3>Related</h3><li><a href="/a">Other story</a></li></aside>
@@ -139,7 +175,8 @@ def test_broken_markup_is_tolerated(page):
 def test_extraction_operator(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (None, "u", "", "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract_text(df).collect()
-    assert sorted(r.n_chars for r in got) == [0, 0, 63, 63] or all(r.n_chars == len(r.text) for r in got)
+    text = "A & B\nFirst line goes on!\nSecond paragraph.\nQuoted text here."
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got), key=str) == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "u", "", 0), (1, "u", text, len(text))], key=str)
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
@@ -166,11 +203,22 @@ def test_quality_ignores_held_out_labels(spark, rng):
 
 
 def test_quality_of_awkward_rows(spark, rng, awkward, empty):
-    _, labels, _ = labelled(spark, rng, 100)
+    docs, labels, _ = labelled(spark, rng, 100)
     assert quality.classify(awkward, labels).count() == awkward.count()
-    assert quality.drop_low_quality(awkward, labels).columns == awkward.columns
     assert quality.classify(empty, labels).count() == 0
     assert {r.score for r in quality.classify(awkward, labels.limit(0)).collect()} == {0.5}
+    # Columns that are named like those of the classifier keep their values.
+    own = docs.selectExpr("*", "doc_id * 1.5 as score", "doc_id as predicted", "'h' as held_out", "'s' as __score", "1L as positive", "2L as x")
+    left = quality.drop_low_quality(own, labels)
+    assert left.columns == own.columns
+    kept = {r.doc_id for r in quality.classify(docs, labels).where("predicted = 1").collect()}
+    assert {tuple(r) for r in left.collect()} == {tuple(r) for r in own.collect() if r.doc_id in kept} and 0 < len(kept) < 100
+
+
+def test_quality_learns_without_negative_labels(spark, rng):
+    docs, labels, _ = labelled(spark, rng, 200)
+    a, b = (sorted((r.doc_id, r.score) for r in quality.classify(docs, x).collect()) for x in (labels, labels.where("quality = 1")))
+    assert a == b
 
 
 def test_repeated_ids_count_once_in_training(spark, rng):
@@ -180,10 +228,54 @@ def test_repeated_ids_count_once_in_training(spark, rng):
     assert a == b
 
 
-def test_risk_is_not_negative_at_the_end():
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_risk_and_its_gradient(prior):
+    """Against the formula in plain Python and finite differences, on both sides of zero."""
+    r = np.random.default_rng(3)
+    zp, zu = r.normal(0.5, 1, 6), r.normal(-0.5, 1, 9)
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(zp, zu):
+        return prior * sum(map(loss, zp)) / len(zp), sum(map(loss, -zu)) / len(zu) - prior * sum(map(loss, -zp)) / len(zp)
+
+    first, rest, gp, gu = quality.risk_step(zp, zu, prior)
+    assert np.allclose((first, rest), parts(zp, zu)) and (rest < 0) == (prior == 0.9)
+    # Where the rest is negative the step goes up its slope, else down that of the whole.
+    aim = lambda *z: -parts(*z)[1] if rest < 0 else sum(parts(*z))
+    for i in range(len(zp)):
+        e = np.eye(len(zp))[i] * 1e-6
+        assert np.isclose(gp[i], (aim(zp + e, zu) - aim(zp - e, zu)) / 2e-6, atol=1e-7)
+    for i in range(len(zu)):
+        e = np.eye(len(zu))[i] * 1e-6
+        assert np.isclose(gu[i], (aim(zp, zu + e) - aim(zp, zu - e)) / 2e-6, atol=1e-7)
+
+
+@pytest.mark.parametrize("share", [0.4, 0.7, 0.9])
+def test_prior_and_separation(share):
     r = np.random.default_rng(0)
-    p = r.normal(1, 1, (300, 5))
-    u = np.concatenate([r.normal(1, 1, (200, 5)), r.normal(-1, 1, (100, 5))])
-    m = quality.train(p, u, 2 / 3)
-    s = m.score(np.concatenate([r.normal(1, 1, (200, 5)), r.normal(-1, 1, (200, 5))]))
-    assert ((s[:200] > 0.5).mean() + (s[200:] < 0.5).mean()) / 2 > 0.9
+    draw = lambda n, at: r.normal(at, 1, (n, 5))
+    p, u = draw(1500, 1.5), np.concatenate([draw(int(2000 * share), 1.5), draw(2000 - int(2000 * share), -1.5)])
+    prior = quality.estimate_prior(p, u)
+    assert -0.08 < prior - share < 0.02  # a standard error low, so that the rest of the risk isn't forced below zero
+    m = quality.train(p, u, prior)
+    s = m.score(np.concatenate([draw(500, 1.5), draw(500, -1.5)]))
+    assert ((s[:500] >= quality.THRESHOLD).mean() + (s[500:] < quality.THRESHOLD).mean()) / 2 > 0.97
+
+
+def test_quality_on_the_test_tables():
+    """Labels of the held-out fold of a test table; the figure in README."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    here = "/root/testdata/sf0.1"
+    if not os.path.isdir(here):
+        pytest.skip("no test tables")
+    rows = duckdb.sql(f"select doc_id, coalesce(text, ''), quality from '{here}/documents.parquet' left join '{here}/labels.parquet' using (doc_id) order by hash(doc_id), doc_id").fetchall()
+    x = np.stack([quality.features(t.encode()) for _, t, _ in rows])
+    held, label = np.array([quality.crc32_fold(i) == 0 for i, _, _ in rows]), np.array([-1 if q is None else q for _, _, q in rows])
+    p, u = x[(label == 1) & ~held][:5000], x[~held][:5000]
+    m = quality.train(p, u, quality.estimate_prior(p, u))
+    use = held & (label >= 0)
+    s, y = m.score(x[use].astype(float)), label[use]
+    auc = (s[y == 1][:, None] > s[y == 0][None]).mean()
+    assert auc > 0.99 and ((s >= quality.THRESHOLD) == y).mean() > 0.99

@@ -27,6 +27,52 @@ def test_url_rules(spark):
     assert {(r.url, r.host, r.path, r.rule, r.verdict, r.other) for r in got} == {(u, *v, "here") for u, v in urls.items()}
 
 
+@pytest.mark.parametrize(("joined", "broadcast"), [(32, 200_000), (0, 200_000), (32, 0)])
+def test_url_rules_brute_force(spark, rng, monkeypatch, joined, broadcast):
+    """Every way of joining, many rules, long URLs, a hot host, clashing names, rules given twice."""
+    monkeypatch.setattr(url_filter, "JOINED_SHAPES", joined)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
+    hosts = ["a.b.com", "b.com", "com", "x.org", "org", "y.x.org"]
+    rules = [(rng.choice(("allow", "block")), rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4)))) for _ in range(40)]
+    urls = [f"http://{rng.choice(['', 'w.', 'q.w.'])}{rng.choice(hosts)}/{''.join(rng.choice('ab/') for _ in range(rng.randrange(6)))}{rng.choice(['', '?q', '#f'])}" for _ in range(200)]
+    urls += ["http://b.com/" + "a" * 100_000, *["http://b.com/a"] * 300, None]
+    df = spark.createDataFrame([(i, u, "v", "d", "p") for i, u in enumerate(urls)], "page_id long, url string, rule_verdict string, digest string, prefix string")
+    held = {h + p: v for v, h, p in rules}
+
+    def judge(u):
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", u).groups() if u else ("", "")
+        fits = [h + p for _, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=lambda r: (len(r), r), default=None)
+        return best, held.get(best, "allow")
+
+    got = url_filter.filter_urls(df, rules).collect()
+    assert sorted((r.page_id, r.rule or "", r.verdict) for r in got) == sorted((i, judge(u)[0] or "", judge(u)[1]) for i, u in enumerate(urls))
+    assert {(r.rule_verdict, r.digest, r.prefix) for r in got} == {("v", "d", "p")}
+
+
+def test_url_join_shuffles_nothing(spark):
+    df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    assert "Exchange hashpartitioning" not in url_filter.filter_urls(df)._jdf.queryExecution().executedPlan().toString()
+
+
+NAMES = "block bits text_key n_words_ rank size best w shingle start item_id h group".split()
+
+
+def test_helper_columns_leave_the_input_alone(spark, awkward):
+    """Columns named like an operator's own inner ones keep their values."""
+    df = awkward
+    for k, n in enumerate(NAMES):
+        df = df.withColumn(n, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    want = sorted([str([r[n] for n in NAMES]) for r in df.collect()])
+    items = spark.createDataFrame([(1, "a b"), (2, "same text here")], "item_id long, text string")
+    seen = lambda d: sorted([str([r[n] for n in NAMES]) for r in d.collect()])
+    assert seen(exact_dedup.mark_exact_duplicates(df)) == want
+    assert seen(decontaminate.contamination(df, items)) == want
+    assert set(seen(exact_dedup.drop_exact_duplicates(df))) < set(want) and exact_dedup.drop_exact_duplicates(df).columns == df.columns
+    clean = decontaminate.drop_contaminated(df, items)
+    assert clean.columns == df.columns and sorted(str([r[n] for n in NAMES]) for r in df.where("text is null or lower(text) not rlike 'a b|same\\\\s+text\\\\s+here'").collect()) == seen(clean)
+
+
 def test_url_without_rules_or_rows(spark, empty):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert url_filter.filter_urls(df, []).first().verdict == "allow"
@@ -90,6 +136,55 @@ def test_events_fold_into_final_messages(spark):
     assert [(r.role, r.text) for r in got] == [("user", "hey"), ("assistant", "Good day"), ("user", "thanks")]
 
 
+def fold(log):
+    """One conversation's events, one after the other, in plain Python."""
+    order = {}
+    for seq, kind, message, role, text in sorted(log, key=lambda e: (e[0], e[1] != "message", e[3] or "", e[4] or "")):
+        own = order.setdefault(message, [])
+        if kind not in ("delta", "edit", "regenerate") or not own:
+            own.append({"seq": seq, "role": role or "", "text": "" if kind in ("edit", "regenerate") else text or "", "cut": None})
+            if kind in ("edit", "regenerate"):
+                own[-1]["text"] = text or ""
+        elif kind == "delta":
+            own[-1]["text"] += text or ""
+        else:
+            own[-1]["text"] = text or ""
+        last = own[-1]
+        last["role"] = last["role"] or role or ""
+        if kind == "regenerate":
+            last["cut"] = seq
+    out, cut = [], None
+    for message in sorted(order):
+        for m in order[message]:
+            if cut is None or m["seq"] > cut:
+                out.append((m["role"], m["text"]))
+            if m["cut"] is not None:
+                cut = m["cut"] if cut is None else max(cut, m["cut"])
+    return out
+
+
+def test_fold_brute_force(spark, rng):
+    logs = {}
+    for c in range(60):
+        seqs = rng.sample(range(1, 60), 25)
+        logs[c] = [(q, rng.choice(["message", "delta", "delta", "edit", "regenerate", None, "other"]), rng.randrange(5), rng.choice(["user", "assistant", None]), rng.choice(["a", "bc", "", None, "d e"])) for q in seqs]
+    rows = [(c, q, k, m, role, t, "x") for c, log in logs.items() for q, k, m, role, t in log]
+    got = {}
+    for r in chat_format.reconstruct(spark.createDataFrame(rows, "conv_id long, seq long, kind string, message long, role string, text string, part string")).orderBy("conv_id", "message", "part").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert {c: got.get(c, []) for c in logs} == {c: fold([(q, k if k in ("delta", "edit", "regenerate") else "message", m, role, t) for q, k, m, role, t in log]) for c, log in logs.items()}
+
+
+def test_tied_events_and_a_long_conversation(spark):
+    tied = [(1, 1, "message", 0, "user", "b"), (1, 1, "message", 0, "user", "a"), (1, 2, "delta", 7, "assistant", "x"), (1, None, None, 9, None, None)]
+    got = chat_format.reconstruct(spark.createDataFrame(tied, "conv_id long, seq long, kind string, message long, role string, text string")).orderBy("message", "part").collect()
+    assert [(r.role, r.text) for r in got] == [("user", "a"), ("user", "b"), ("assistant", "x"), ("", "")]
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id) as text")
+    d = chat_format.digests(chat_format.format_chats(chat_format.events_from_turns(turns))).first()
+    assert d.n_turns == n and d.loss_sha256 == hashlib.sha256("".join(f"turn {i}" for i in range(1, n, 2)).encode()).hexdigest()
+
+
 def test_chat_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(chat_format.format_chats(chat_format.events_from_turns(none))).count() == 0
