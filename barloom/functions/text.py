@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: First two digits of supported six-digit codes.
-SHARE_PREFIXES = ("00", "30", "60", "68")
-LIMIT = 300
+SHARE_PREFIXES = ("00", "30", "60", "68", "90", "92")
+#: The longest summary, the shortest run that is taken for a token, what is put in place of a secret.
+LIMIT, TOKEN, HIDDEN = 300, 24, "[REDACTED]"
+#: Names after which a secret stands.  What an authorization header holds may have spaces and ends at a delimiter.
+SECRETS = r"refresh[_-]?token|access[_-]?token|token|password|secret|api[_-]?key"
+_TOKEN_MARKS = r"[A-Za-z0-9._~+/=-]"
 
 
 def padded_code(x: Column) -> Column:
@@ -43,10 +49,19 @@ def extracted_ticker(x: Column) -> Column:
     return F.when(out != "", out)
 
 
-def redacted(message: Column, limit: int = LIMIT) -> Column:
-    """Credentials, bearer tokens and token-like strings removed, white space folded, length limited."""
-    out = F.regexp_replace(message, r"(?i)([\"']?(?:access[_-]?token|refresh[_-]?token|token|password|secret|api[_-]?key|authorization)[\"']?\s*[:=]\s*)(\"[^\"]*\"|'[^']*')", "$1[REDACTED]")
-    out = F.regexp_replace(out, r"(?i)\b((?:access[_-]?token|refresh[_-]?token|token|password|secret|api[_-]?key)\s*[:=]\s*)(?!\[REDACTED\])[^\s,;&\"']+", "$1[REDACTED]")
-    out = F.regexp_replace(out, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    out = F.regexp_replace(out, r"\b[A-Za-z0-9_-]{32,}\b", "[REDACTED]")
+def _hide_after(message: Column, names: str, value: str) -> Column:
+    """``name: value`` with the value hidden; in quotes it ends with them.  What is hidden already stays, so hiding twice is hiding once."""
+    name = rf"""(["']?\b(?:{names})\b["']?\s*[:=]\s*)"""
+    return F.regexp_replace(message, rf"""(?i){name}(?:\[REDACTED\]|"[^"]*"|'[^']*'|{value})""", f"$1{HIDDEN}")
+
+
+def redacted(message: Column, limit: int = LIMIT, secrets: Sequence[str] = ()) -> Column:
+    """Known secrets, credentials, bearer tokens and token-like strings hidden, white space folded, length limited."""
+    out = message
+    for secret in sorted(filter(None, secrets), key=len, reverse=True):
+        out = F.replace(out, F.lit(secret), F.lit(HIDDEN))
+    out = _hide_after(out, "authorization", r"[^,;}\]\r\n]+")
+    out = _hide_after(out, SECRETS, r"(?:bearer\s+)?[^\s,;}\]]+")
+    out = F.regexp_replace(out, rf"(?i)\bbearer\s+{_TOKEN_MARKS}+", f"Bearer {HIDDEN}")
+    out = F.regexp_replace(out, rf"(?<!{_TOKEN_MARKS}){_TOKEN_MARKS}{{{TOKEN},}}", HIDDEN)
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, limit)

@@ -7,6 +7,8 @@ The windows overlap, so a row is sent to ``train / retrain`` groups.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,7 +18,16 @@ from barloom.operators.strategies import feature_formulas
 from barloom.plans.expr import evaluate
 from barloom.session import ship_package
 
-KINDS = ("ml", "lasso", "elastic_net")
+#: What each strategy is run with.
+DEFAULTS = {
+    "ml": {"top_n": 20, "train": 504, "retrain": 21, "horizon": 21, "windows": (21, 63, 126), "alpha": 0.0, "l1": 0.0},
+    "elastic_net": {"top_n": 30, "train": 240, "retrain": 20, "horizon": 20, "windows": (21, 63, 126), "alpha": 0.005, "l1": 0.5},
+    "lasso": {"top_n": 20, "train": 252, "retrain": 10, "horizon": 10, "windows": (21, 63, 126), "alpha": 0.005, "l1": 1.0},
+}
+#: Codes whose returns meet in one product of two blocks.
+PAIR_BLOCK = 2_000
+#: The fewest rows that a model learns from.
+LEAST = 30
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -55,96 +66,120 @@ def fit_elastic(x: np.ndarray, y: np.ndarray, alpha: float, l1: float, rounds: i
     return np.append(w, my - mx @ w)
 
 
-def _z(frame: pd.DataFrame, column: str) -> pd.Series:
-    g = frame.groupby("ord")[column]
-    std = g.transform("std").replace(0.0, np.nan)
-    z = (frame[column] - g.transform("mean")) / std
-    return z.fillna(0.0).where(frame[column].notna())
-
-
-def _top(score: pd.Series, n: int) -> pd.Series:
-    best = score.dropna().sort_values(ascending=False, kind="stable").head(n)
-    return pd.Series(1.0 / len(best), index=best.index) if len(best) else best
-
+def prepared(panel: DataFrame, kind: str, horizon: int, windows: tuple[int, int, int]) -> tuple[DataFrame, list[str]]:
+    """(code, ord, features, aim): what a model of the kind learns from, complete rows only but for the aim.
 
-def choose(frame: pd.DataFrame, names: list[str], kind: str, t: int, train: int, horizon: int, top_n: int, alpha: float = 0.001, l1: float = 0.5) -> pd.Series | None:
-    """Weights by code at row ``t``, from the rows before it whose labels are known."""
-    frame = frame.sort_values(["ord", "code"]).reset_index(drop=True)
-    numbers = [*names, "forward"]
-    frame[numbers] = frame[numbers].astype(float).replace([np.inf, -np.inf], np.nan)
-    past = frame["ord"] < t - horizon
-    now = frame["ord"] == t
-    if kind in ("lasso", "elastic_net"):
-        for name in [*names, "forward"]:
-            frame[name] = _z(frame, name)
-        y = frame["forward"]
-    else:
-        y = (frame["forward"] > frame.groupby("ord")["forward"].transform("median")).astype(float)
-    x = frame[names].to_numpy(float)
-    ok = past.to_numpy() & ~np.isnan(x).any(1) & frame["forward"].notna().to_numpy()
-    if ok.sum() < 30 or (kind == "ml" and len(np.unique(y[ok])) < 2):
-        return None
+    Regressions take everything as deviations of its date; the classifier takes features as
+    they are, and its aim is whether the return to come is above the date's median.
+    """
+    names = list(feature_formulas(windows))
+    data = evaluate(panel, feature_formulas(windows) | {"aim": f"finite(lead(close, {horizon}) / close - 1)"}, ["code", "date", "ord"])
+    data = data.select("code", "ord", "aim", *[F.when(F.abs(F.col(n)) < float("inf"), F.col(n)).alias(n) for n in names])
+    day = Window.partitionBy("ord")
     if kind == "ml":
-        w = fit_logistic(x[ok], y[ok].to_numpy())
+        data = data.withColumn("aim", (F.col("aim") > F.median("aim").over(day)).cast("double"))
     else:
-        w = fit_elastic(x[ok], y[ok].to_numpy(), alpha, 1.0 if kind == "lasso" else l1)
-    use = now.to_numpy() & ~np.isnan(x).any(1)
-    if not use.any():
+        deviation = lambda n: F.coalesce((F.col(n) - F.avg(n).over(day)) / F.nullif(F.stddev_samp(n).over(day), F.lit(0.0)), F.col(n) * 0.0)
+        data = data.select("code", "ord", *[deviation(n).alias(n) for n in [*names, "aim"]])
+    return data.dropna(subset=names), names
+
+
+def fitted(x: np.ndarray, y: np.ndarray, kind: str, alpha: float, l1: float) -> np.ndarray | None:
+    """Coefficients and intercept of a model of the kind; None with too little to learn from."""
+    if len(y) < LEAST or (kind == "ml" and y.min() == y.max()):
         return None
-    return _top(pd.Series(x[use] @ w[:-1] + w[-1], index=frame.loc[use, "code"].to_numpy()), top_n)
+    return fit_logistic(x, y) if kind == "ml" else fit_elastic(x, y, alpha, l1)
 
 
-def weights(panel: DataFrame, kind: str, top_n: int = 20, train: int = 252, retrain: int = 21, horizon: int = 21, windows: tuple[int, int, int] = (21, 63, 126), alpha: float = 0.001, l1: float = 0.5) -> DataFrame:
-    """(code, date, weight) of a learned strategy."""
-    if kind not in KINDS:
+def weights(panel: DataFrame, kind: str, **params) -> DataFrame:
+    """(code, date, weight) of a learned strategy; ``params`` replace those of ``DEFAULTS``.
+
+    On row ``train`` and every ``retrain`` rows from there a model learns from the ``train``
+    rows before whose returns over ``horizon`` rows are known; the ``top_n`` names that it
+    ranks first on that row are held in equal parts until the next.
+    """
+    if kind not in DEFAULTS:
         raise ValueError(f"unknown kind {kind!r}")
-    formulas = feature_formulas(windows)
-    names = list(formulas)
-    data = evaluate(panel, formulas | {"forward": f"lead(close, {horizon}) / close - 1"}, ["code", "date", "ord"])
-    # Retraining rows t = train + k * retrain that use a row: those with ord < t - horizon within the window, and t itself.
-    first = F.greatest(F.lit(0), F.ceil((F.col("ord") + horizon + 1 - train) / retrain))
-    last = F.floor(F.col("ord") / retrain)
-    spread = data.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).withColumn("t", F.lit(train) + F.col("k") * retrain)
-    # A date learns from [t - train, t - horizon) and scores itself.
-    learn = spread.where((F.col("ord") >= F.col("t") - train) & (F.col("ord") < F.col("t") - horizon))
-    score = data.where((F.col("ord") >= train) & ((F.col("ord") - train) % retrain == 0)).withColumn("t", F.col("ord"))
-    rows = learn.select("t", "code", "ord", *names, "forward").unionByName(score.select("t", "code", "ord", *names, "forward"))
+    p = DEFAULTS[kind] | params
+    data, names = prepared(panel, kind, p["horizon"], tuple(p["windows"]))
+    train, retrain, horizon = p["train"], p["retrain"], p["horizon"]
+    # Rows are sent to the dates that learn from them, and to their own if it is one: those have no part, others their aim.
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("ord") + horizon + 1 - train) / retrain)), F.floor(F.col("ord") / retrain)
+    of = F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
+    learn = data.where("aim is not null").withColumn("turn", of).withColumn("at", F.lit(train) + F.col("turn") * retrain).drop("turn").where((F.col("ord") >= F.col("at") - train) & (F.col("ord") < F.col("at") - horizon))
+    rank = data.where((F.col("ord") >= train) & ((F.col("ord") - train) % retrain == 0)).withColumn("at", F.col("ord")).withColumn("aim", F.lit(None).cast("double"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[0])
-        chosen = choose(frame, names, kind, t, train, horizon, top_n, alpha, l1) if (frame["ord"] == t).any() else None
-        if chosen is None or chosen.empty:
-            return pd.DataFrame({"ord": pd.Series(dtype="int64"), "code": pd.Series(dtype=frame["code"].dtype), "w": pd.Series(dtype=float)})
-        return pd.DataFrame({"ord": t, "code": chosen.index, "w": chosen.to_numpy()})
+        frame = frame.sort_values(["ord", "code"])
+        past = frame["aim"].notna().to_numpy()
+        x = frame[names].to_numpy(float)
+        model = fitted(x[past], frame.loc[past, "aim"].to_numpy(float), kind, p["alpha"], p["l1"])
+        now = frame.loc[~past, ["code"]]
+        if model is None or now.empty:
+            return pd.DataFrame({"ord": pd.Series(dtype="int64"), "code": now["code"].head(0), "w": pd.Series(dtype=float)})
+        best = now["code"].to_numpy()[np.argsort(-(x[~past] @ model[:-1]), kind="stable")[: p["top_n"]]]
+        return pd.DataFrame({"ord": int(key[0]), "code": best, "w": 1.0 / len(best)})
 
     ship_package(panel.sparkSession)
     code = panel.schema["code"].dataType.simpleString()
-    chosen = rows.groupBy("t").applyInPandas(run, f"ord long, code {code}, w double")
-    days = F.broadcast(chosen.select("ord").distinct().withColumn("__set", F.lit(1)))
+    chosen = learn.unionByName(rank).groupBy("at").applyInPandas(run, f"ord long, code {code}, w double")
+    days = F.broadcast(chosen.select("ord").distinct().withColumn("__set", F.lit(1)))  # one row a retraining date
     placed = panel.select("code", "date", "ord").join(chosen, ["code", "ord"], "left").join(days, "ord", "left")
     set_ = F.when(F.col("__set") == 1, F.coalesce("w", F.lit(0.0)))
     held = F.last(set_, ignorenulls=True).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return placed.select("code", "date", F.coalesce(held, F.lit(0.0)).alias("weight"))
 
 
+def _partners(frame: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The ``n`` best partners, in the other block, of each code of a block."""
+    mine, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    if mine.empty or theirs.empty:
+        return pd.DataFrame({"a": [], "b": [], "c": []})
+    c = np.stack(mine["z"].to_list()) @ np.stack(theirs["z"].to_list()).T
+    a, b = mine["code"].to_numpy(), theirs["code"].to_numpy()
+    c = np.where(a[:, None] == b, -np.inf, c).round(9)
+    out = []
+    for i in range(len(a)):
+        best = np.lexsort((np.maximum(b, a[i]), np.minimum(b, a[i]), -c[i]))[:n]
+        out += [(a[i], b[k], c[i, k]) for k in best if np.isfinite(c[i, k])]
+    return pd.DataFrame(out, columns=["a", "b", "c"])
+
+
 def top_pairs(panel: DataFrame, n: int, train: int) -> list[tuple[str, str]]:
     """Disjoint pairs of codes with the highest correlation of returns over the first rows.
 
-    Only codes without a gap take part, so candidates are few; all pairs of them are a
-    join of returns by date.  The greedy choice takes pairs in order, one page at a time.
+    Only codes without a gap take part.  A pair that is chosen is among the first ``2 n - 1``
+    of either code, as no more names are taken before it; so each code gives that many rows,
+    from products of blocks of standardised returns, and not all pairs are listed.
     """
-    early = panel.where(F.col("ord") < train)
-    whole = early.groupBy("code").agg(F.count("close").alias("n")).where(F.col("n") == train).select("code")
-    r = early.join(F.broadcast(whole), "code").where("ord > 0").select("ord", "code", "returns")
-    a, b = r.select("ord", F.col("code").alias("a"), F.col("returns").alias("x")), r.select("ord", F.col("code").alias("b"), F.col("returns").alias("y"))
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    c = a.join(b, "ord").where("a < b").groupBy("a", "b").agg(F.when(spread > 0, F.try_divide(F.covar_pop("x", "y"), spread)).alias("c")).where("c is not null")
+    early = panel.where((F.col("ord") > 0) & (F.col("ord") < train))
+    series = early.groupBy("code").agg(F.count("close").alias("n"), F.count("returns").alias("m"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "returns"))), lambda x: x["returns"]).alias("r"))
+    first = panel.where((F.col("ord") == 0) & F.col("close").isNotNull()).select("code")
+    whole = series.where((F.col("n") == train - 1) & (F.col("m") == train - 1)).join(first, "code", "left_semi").select(F.col("code").cast("string").alias("code"), "r")
+    blocks = -(-whole.count() // PAIR_BLOCK)
+    if not blocks:
+        return []
+    block = F.pmod(F.xxhash64("code"), F.lit(blocks))
+
+    def standard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            r = np.stack(b["r"].to_list()) if len(b) else np.empty((0, 1))
+            d = r - r.mean(1, keepdims=True)
+            size = np.sqrt((d**2).sum(1, keepdims=True))
+            keep = size[:, 0] > 0
+            yield pd.DataFrame({"code": b["code"].to_numpy()[keep], "block": b["block"].to_numpy()[keep], "z": list((d / np.where(size > 0, size, 1.0))[keep])})
+
+    z = whole.withColumn("block", block).mapInPandas(standard, "code string, block long, z array<double>")
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    tasks = z.select("code", "z", F.col("block").alias("i"), others.alias("j"), F.lit(0).alias("side")).unionByName(z.select("code", "z", F.col("block").alias("j"), others.alias("i"), F.lit(1).alias("side")))
+    most = 2 * n - 1
+    near = tasks.groupBy("i", "j").applyInPandas(lambda f: _partners(f, most), "a string, b string, c double")
+    order = Window.partitionBy("a").orderBy(F.desc("c"), F.least("a", "b"), F.greatest("a", "b"))
+    best = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c").distinct()
     out: list[tuple[str, str]] = []
-    used: set[str] = set()
-    for row in c.orderBy(F.round("c", 9).desc(), "a", "b").toLocalIterator():
-        if row["a"] not in used and row["b"] not in used:
+    for row in best.orderBy(F.desc("c"), "a", "b").toLocalIterator():  # read a page at a time, and only until n pairs are found
+        if not {row["a"], row["b"]} & {c for pair in out for c in pair}:
             out.append((row["a"], row["b"]))
-            used |= {row["a"], row["b"]}
             if len(out) == n:
                 break
     return out
@@ -152,6 +187,7 @@ def top_pairs(panel: DataFrame, n: int, train: int) -> list[tuple[str, str]]:
 
 def pairs(panel: DataFrame, n_pairs: int = 5, train: int = 252, window: int = 20, entry: float = 2.0, exit_: float = 0.5) -> DataFrame:
     """(code, date, weight): spread of the logs of each pair, traded on its rolling z-score."""
+    ship_package(panel.sparkSession)
     chosen = top_pairs(panel, n_pairs, train)
     flat = panel.select("code", "date", F.lit(0.0).alias("weight"))
     if not chosen:

@@ -7,9 +7,10 @@ and its rows are its targets and the prices of the names it can hold.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,77 +18,105 @@ from pyspark.sql import functions as F
 from barloom.operators.research import newey_west
 from barloom.session import ship_package
 
+#: Amounts of money and shares below this are none.
+TINY = 1e-9
 SIMULATED = "portfolio string, date date, nav double, returns double, turnover double, cost double, trades long"
+LEDGER = "portfolio string, signal_date date, date date, seq long, code string, side string, shares double, price double, notional double, cost double, status string"
 
 
-def _good(x: float | None) -> bool:
-    return x is not None and math.isfinite(x) and x > 0
+class Book(NamedTuple):
+    """What a fold of a portfolio gives: worth before and after trading, and the money moved into each code, by day."""
 
+    before: np.ndarray
+    nav: np.ndarray
+    flow: np.ndarray
 
-def simulate_one(days: Iterable[tuple[object, dict[str, tuple[float, float, bool, bool]], dict[str, float] | None]], cost_bps: float = 20) -> list[tuple[object, float, float, float, float, int]]:
-    """Fold one portfolio.
-
-    ``days`` gives, in order, the date, the quotes by code (price, mark, buying blocked,
-    selling blocked) and the target weights that were set on the row before, if any.
-    Sales come first, then purchases, scaled to the cash that is there.
-    """
-    rate, cash, shares, out, last = cost_bps / 1e4, 1.0, {}, [], None
-    for date, quotes, target in days:
-        value = lambda: cash + sum(n * quotes[c][1] for c, n in shares.items() if c in quotes and _good(quotes[c][1]))  # noqa: B023, E731
-        before, traded, paid, trades = value(), 0.0, 0.0, 0
-        if target is not None:
-            wish = {c: w * before for c, w in target.items()}
-            for c in sorted(set(shares) | set(wish)):
-                price, _, _, blocked = quotes.get(c, (math.nan, math.nan, True, True))
-                if not _good(price) or blocked:
-                    continue
-                own = shares.get(c, 0.0) * price
-                need = wish.get(c, 0.0) - own
-                if need < 0:
-                    amount = min(-need, own)
-                    shares[c] -= amount / price
-                    cash += amount * (1 - rate)
-                    traded, paid, trades = traded + amount, paid + amount * rate, trades + 1
-            needs = {}
-            for c in wish:
-                price, _, blocked, _ = quotes.get(c, (math.nan, math.nan, True, True))
-                if _good(price) and not blocked and wish[c] > shares.get(c, 0.0) * price:
-                    needs[c] = wish[c] - shares.get(c, 0.0) * price
-            required = sum(needs.values()) * (1 + rate)
-            scale = min(1.0, cash / required) if required > 0 else 0.0
-            for c in sorted(needs):
-                amount = needs[c] * scale
-                shares[c] = shares.get(c, 0.0) + amount / quotes[c][0]
-                cash -= amount * (1 + rate)
-                traded, paid, trades = traded + amount, paid + amount * rate, trades + 1
-        nav = value()
-        out.append((date, nav, 0.0 if last is None else nav / last - 1, traded / before if before > 0 else math.nan, paid, trades))
-        last = nav
-    return out
 
+def run_book(price: np.ndarray, mark: np.ndarray, no_buy: np.ndarray, no_sell: np.ndarray, aims: np.ndarray, cost_bps: float = 20) -> Book:
+    """Fold a portfolio that starts with 1 in cash; all arguments are (day, code) tables.
 
-def simulate(targets: DataFrame, prices: DataFrame, limits: DataFrame, cost_bps: float = 20) -> DataFrame:
-    """Simulate every portfolio of ``targets(portfolio, date, code, weight)`` over dense ``prices(code, date, ord, open)``."""
+    ``aims`` holds target weights on days that set some (NaN elsewhere); they are traded
+    toward at the next day's price.  Names without a price, or blocked on the side that they
+    would trade, are left alone.  Sales come first; purchases share what cash there is, fees
+    included.
+    """
+    rate, days = cost_bps / 1e4, len(price)
+    tradable = np.isfinite(price) & (price > 0)
+    price, mark = np.where(tradable, price, 1.0), np.where(np.isfinite(mark) & (mark > 0), mark, 0.0)
+    asked = np.isfinite(aims)
+    cash, shares = 1.0, np.zeros(price.shape[1])
+    book = Book(np.empty(days), np.empty(days), np.zeros(price.shape))
+    for t in range(days):
+        book.before[t] = cash + shares @ mark[t]
+        if t and asked[t - 1].any():
+            own = shares * price[t]
+            gap = np.where(asked[t - 1], aims[t - 1], 0.0) * book.before[t] - own
+            out = np.where(tradable[t] & ~no_sell[t], np.clip(-gap, 0.0, own), 0.0)
+            cash += out.sum() * (1 - rate)
+            into = np.where(tradable[t] & ~no_buy[t] & asked[t - 1], np.maximum(gap, 0.0), 0.0)
+            needed = into.sum() * (1 + rate)
+            into *= min(1.0, cash / needed) if needed > 0 else 0.0
+            cash -= into.sum() * (1 + rate)
+            book.flow[t] = into - out
+            shares += book.flow[t] / price[t]
+        book.nav[t] = cash + shares @ mark[t]
+    return book
+
+
+def _grids(targets: DataFrame, prices: DataFrame, limits: DataFrame) -> DataFrame:
+    """A dense (date, code) grid of each portfolio: its names, their prices, marks and blocks, and its targets."""
     along = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     price = F.when((F.col("open") > 0) & (F.col("open") < float("inf")), F.col("open"))
     quotes = prices.withColumn("price", price).withColumn("mark", F.last("price", ignorenulls=True).over(along)).join(limits, ["code", "date"], "left")
     names = targets.select("portfolio", "code").distinct()
     rows = names.join(quotes, "code").join(targets.select("portfolio", "date", "code", "weight"), ["portfolio", "date", "code"], "left")
-    rows = rows.select("portfolio", "date", "ord", "code", "price", "mark", F.coalesce("buy_blocked", F.lit(True)).alias("nb"), F.coalesce("sell_blocked", F.lit(True)).alias("ns"), "weight")
+    return rows.select("portfolio", "date", "ord", "code", "price", "mark", F.coalesce("buy_blocked", F.lit(True)).alias("no_buy"), F.coalesce("sell_blocked", F.lit(True)).alias("no_sell"), "weight")
+
+
+def _folded(frame: pd.DataFrame, cost_bps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, Book]:
+    """Dates, codes and prices of a portfolio's grid, and its book."""
+    frame = frame.sort_values(["ord", "code"])
+    shape = (frame["date"].nunique(), frame["code"].nunique())
+    table = lambda c, kind: frame[c].to_numpy(kind).reshape(shape)
+    price = table("price", float)
+    book = run_book(price, table("mark", float), table("no_buy", bool), table("no_sell", bool), table("weight", float), cost_bps)
+    return table("date", object)[:, 0], table("code", object)[0], price, book
+
+
+def simulate(targets: DataFrame, prices: DataFrame, limits: DataFrame, cost_bps: float = 20) -> DataFrame:
+    """Simulate every portfolio of ``targets(portfolio, date, code, weight)`` over dense ``prices(code, date, ord, open)``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        dates, _, _, book = _folded(frame, cost_bps)
+        moved = np.abs(book.flow).sum(1)
+        out = {
+            "portfolio": frame["portfolio"].iloc[0], "date": dates, "nav": book.nav, "returns": np.append(0.0, book.nav[1:] / book.nav[:-1] - 1),
+            "turnover": np.divide(moved, book.before, out=np.full(len(moved), np.nan), where=book.before > 0), "cost": moved * cost_bps / 1e4, "trades": (book.flow != 0).sum(1),
+        }
+        return pd.DataFrame(out)
+
+    ship_package(targets.sparkSession)
+    return _grids(targets, prices, limits).groupBy("portfolio").applyInPandas(run, SIMULATED)
+
+
+def trade_ledger(targets: DataFrame, prices: DataFrame, limits: DataFrame, cost_bps: float = 20) -> DataFrame:
+    """The trades behind :func:`simulate`, numbered in order: sales of a day before its purchases, each side by code."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        days, aim = [], None
-        for date, g in frame.sort_values(["ord", "code"]).groupby("date", sort=True):
-            quotes = {c: (p, m, b, s) for c, p, m, b, s in zip(g["code"], g["price"], g["mark"], g["nb"], g["ns"], strict=True)}
-            days.append((date, quotes, aim))
-            own = g[g["weight"].notna()]
-            aim = dict(zip(own["code"], own["weight"], strict=True)) if len(own) else None
-        out = pd.DataFrame(simulate_one(days, cost_bps), columns=["date", "nav", "returns", "turnover", "cost", "trades"])
-        out.insert(0, "portfolio", frame["portfolio"].iloc[0])
-        return out
+        dates, codes, price, book = _folded(frame, cost_bps)
+        day, name = np.nonzero(book.flow)
+        flow = book.flow[day, name]
+        turn = np.lexsort((name, flow > 0, day))
+        day, name, flow = day[turn], name[turn], flow[turn]
+        amount, at = np.abs(flow), price[day, name]
+        out = {
+            "portfolio": frame["portfolio"].iloc[0], "signal_date": dates[day - 1], "date": dates[day], "seq": np.arange(len(day)), "code": codes[name], "side": np.where(flow > 0, "buy", "sell"),
+            "shares": amount / at, "price": at, "notional": amount, "cost": amount * cost_bps / 1e4, "status": "filled",
+        }
+        return pd.DataFrame(out)
 
     ship_package(targets.sparkSession)
-    return rows.groupBy("portfolio").applyInPandas(run, SIMULATED)
+    return _grids(targets, prices, limits).groupBy("portfolio").applyInPandas(run, LEDGER)
 
 
 def portfolio_metrics(strategy: DataFrame, benchmark: DataFrame, days: int = 252) -> DataFrame:
@@ -111,68 +140,93 @@ def portfolio_metrics(strategy: DataFrame, benchmark: DataFrame, days: int = 252
 # --- The daily account -------------------------------------------------------------------
 
 
-def account_step(state: dict, date: str, prices: dict[str, float], marks: dict[str, float], bench_return: float, targets: dict[str, float] | None, rebalance: int, cost_bps: float = 10) -> tuple[dict, dict | None, list[dict]]:
-    """One day of a paper account: fill what is pending, value, count to the next rebalance.  A date that was run already changes nothing."""
-    if state["last_run"] == date:
-        return state, None, []
-    state = {**state, "positions": dict(state["positions"])}
-    held, orders = state["positions"], []
-    value = lambda: sum(n * marks[c] for c, n in held.items() if _good(marks.get(c)))
-    if state["pending_targets"] is not None:
-        before, aims = state["cash"] + value(), state["pending_targets"]
-        for c in sorted(set(aims) | set(held)):
-            price = prices.get(c)
-            if not _good(price):
-                continue
-            change = aims.get(c, 0.0) * before - held.get(c, 0.0) * price
-            if abs(change) < 1e-9:
-                continue
-            cost = abs(change) * cost_bps / 1e4
-            state["cash"] -= change + cost
-            left = held.get(c, 0.0) + change / price
-            if abs(left) < 1e-9:
-                held.pop(c, None)
-            else:
-                held[c] = left
-            orders.append({"date": date, "ticker": c, "side": "buy" if change > 0 else "sell", "shares": round(change / price, 4), "price": round(price, 4), "value": round(change, 2), "cost": round(cost, 2)})
-        state["pending_targets"] = None
-    worth = value()
-    state["bench_nav"] *= 1 + bench_return
-    row = {"date": date, "nav": round(state["cash"] + worth, 2), "cash": round(state["cash"], 2), "positions_value": round(worth, 2), "bench_nav": round(state["bench_nav"], 2)}
-    if state["days_since_rebalance"] is not None:
-        state["days_since_rebalance"] += 1
-    if (state["days_since_rebalance"] is None or state["days_since_rebalance"] >= rebalance) and targets:
-        state["pending_targets"], state["days_since_rebalance"] = dict(targets), 0
-    state["last_run"] = date
-    return state, row, orders
-
-
-def new_account(capital: float) -> dict:
-    return {"cash": capital, "positions": {}, "pending_targets": None, "days_since_rebalance": None, "bench_nav": capital, "last_run": None}
+class Day(NamedTuple):
+    """What an account sees of a date: series by code, and the weights that its strategy would set."""
+
+    date: str
+    close: pd.Series
+    mark: pd.Series
+    bench_return: float
+    targets: pd.Series
+
+
+@dataclass
+class Account:
+    """A paper account: cash, shares by code, a benchmark of the same capital, weights to fill on the next day."""
+
+    cash: float
+    bench: float
+    shares: dict[str, float] = field(default_factory=dict)
+    due: dict[str, float] | None = None
+    age: int | None = None
+    seen: str | None = None
+
+    @classmethod
+    def of(cls, capital: float) -> Account:
+        return cls(capital, capital)
+
+    def worth(self, mark: pd.Series) -> float:
+        """Value of the shares that have a price."""
+        known = mark.reindex(list(self.shares)).astype(float)
+        return float((known.where(known.gt(0) & np.isfinite(known), 0.0) * pd.Series(self.shares, dtype=float)).sum())
+
+    def fill(self, day: Day, cost_bps: float) -> pd.DataFrame:
+        """Trade toward the weights that are due, at the day's prices; names without one wait for the next weights."""
+        total, aims, own = self.cash + self.worth(day.mark), pd.Series(self.due, dtype=float), pd.Series(self.shares, dtype=float)
+        book = pd.DataFrame({"own": own, "aim": aims}).fillna(0.0).sort_index()
+        book["price"] = day.close.reindex(book.index).astype(float)
+        book = book[book["price"].gt(0) & np.isfinite(book["price"])]
+        book["value"] = book["aim"] * total - book["own"] * book["price"]
+        book = book[book["value"].abs() >= TINY]
+        book["cost"] = book["value"].abs() * cost_bps / 1e4
+        self.cash -= float((book["value"] + book["cost"]).sum())
+        left = own.add(book["value"] / book["price"], fill_value=0.0)
+        self.shares, self.due = left[left.abs() >= TINY].to_dict(), None
+        sides = np.where(book["value"] > 0, "buy", "sell")
+        return pd.DataFrame({"date": day.date, "ticker": book.index, "side": sides, "shares": (book["value"] / book["price"]).round(4), "price": book["price"].round(4), "value": book["value"].round(2), "cost": book["cost"].round(2)})
+
+    @property
+    def idle(self) -> bool:
+        """Whether weights were never set."""
+        return self.age is None
+
+    def rebalance_due(self, every: int) -> bool:
+        return self.idle or self.age >= every
+
+    def advance(self, day: Day, every: int, cost_bps: float = 10) -> tuple[dict | None, pd.DataFrame]:
+        """Fill, value, and set weights if it is time; (row of the day, orders).  A date at or before the last changes nothing."""
+        if self.seen is not None and day.date <= self.seen:
+            return None, pd.DataFrame()
+        orders = pd.DataFrame() if self.due is None else self.fill(day, cost_bps)
+        held = self.worth(day.mark)
+        self.bench *= 1 + day.bench_return
+        self.seen, self.age = day.date, None if self.idle else self.age + 1
+        aims = day.targets.dropna()
+        aims = aims[aims != 0]
+        if len(aims) and self.rebalance_due(every):
+            self.due, self.age = aims.to_dict(), 0
+        return {"date": day.date, "nav": round(self.cash + held, 2), "cash": round(self.cash, 2), "positions_value": round(held, 2), "bench_nav": round(self.bench, 2)}, orders
 
 
 ACCOUNT_DAYS = "account string, date string, nav double, cash double, positions_value double, bench_nav double, orders long"
 
 
-def fold_days(state: dict, frame: pd.DataFrame, rebalance: int, cost_bps: float) -> tuple[dict, pd.DataFrame]:
-    """Step an account through the dates of ``frame`` that it hasn't seen; the state after, and one row a day."""
-    out = []
+def fold_days(account: Account, frame: pd.DataFrame, rebalance: int, cost_bps: float) -> pd.DataFrame:
+    """Move an account through the dates of ``frame`` that it hasn't seen; one row a day."""
+    rows = []
     for date, g in frame.groupby("date", sort=True):
-        if state["last_run"] is not None and str(date) <= state["last_run"]:
-            continue
-        column = lambda c: dict(zip(g["code"], g[c], strict=True))  # noqa: B023, E731
-        aims = {c: w for c, w in column("weight").items() if w is not None and w == w and w != 0}
-        state, row, orders = account_step(state, str(date), column("close"), column("mark"), float(g["bench_return"].iloc[0]), aims or None, rebalance, cost_bps)
+        g = g.set_index("code")
+        row, orders = account.advance(Day(str(date), g["close"], g["mark"], float(g["bench_return"].iloc[0]), g["weight"].astype(float)), rebalance, cost_bps)
         if row:
-            out.append({"account": frame["account"].iloc[0], **row, "orders": len(orders)})
-    return state, pd.DataFrame(out, columns=["account", "date", "nav", "cash", "positions_value", "bench_nav", "orders"])
+            rows.append({"account": g["account"].iloc[0], **row, "orders": len(orders)})
+    return pd.DataFrame(rows, columns=["account", "date", "nav", "cash", "positions_value", "bench_nav", "orders"])
 
 
 def run_accounts(days: DataFrame, capital: float = 100_000.0, rebalance: int = 5, cost_bps: float = 10) -> DataFrame:
     """Fold accounts over ``days(account, date, code, close, mark, bench_return, weight)``; accounts are independent."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return fold_days(new_account(capital), frame, rebalance, cost_bps)[1]
+        return fold_days(Account.of(capital), frame, rebalance, cost_bps)
 
     ship_package(days.sparkSession)
     return days.groupBy("account").applyInPandas(run, ACCOUNT_DAYS)

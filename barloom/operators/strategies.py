@@ -179,7 +179,10 @@ def validate(weighted: DataFrame, cost_bps: float = 20) -> DataFrame:
     annual = lambda c: F.pow(_total(F.col(c)) + 1.0, F.lit(float(TRADING_DAYS)) / F.count(F.lit(1))) - 1.0
     t = F.when(F.stddev_pop("excess") > 0, F.try_divide(F.avg("excess"), F.stddev_pop("excess")) * F.sqrt(F.count(F.lit(1))))
     sharpe = F.when(F.stddev_pop("net") > 0, F.try_divide(F.avg("net") * TRADING_DAYS, F.stddev_pop("net") * F.sqrt(F.lit(float(TRADING_DAYS)))))
-    out = live.agg(F.min("date").alias("live_start"), annual("net").alias("strat_annual"), annual("bench").alias("bench_annual"), sharpe.alias("sharpe"), t.alias("t_stat"))
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
+    equity = live.withColumn("equity", F.product(F.col("net") + 1.0).over(so_far))
+    fallen = equity.withColumn("fall", F.col("equity") / F.max("equity").over(so_far) - 1.0)
+    out = fallen.agg(F.min("date").alias("live_start"), annual("net").alias("strat_annual"), annual("bench").alias("bench_annual"), sharpe.alias("sharpe"), t.alias("t_stat"), F.min("fall").alias("max_drawdown"))
     verdict = F.when(F.col("live_start").isNull(), "never held").when(F.col("t_stat").isNull(), "undecided").when(F.col("t_stat") >= 2, "beats").when(F.col("t_stat") <= -2, "trails").otherwise("not significant")
     return out.withColumn("excess_annual", F.col("strat_annual") - F.col("bench_annual")).withColumn("verdict", verdict)
 
@@ -192,7 +195,9 @@ def yearly(weighted: DataFrame, cost_bps: float = 20) -> DataFrame:
 
 
 def grid(panel: DataFrame, name: str, choices: dict[str, list], ratio: float = 0.6, allowed: Callable[[dict], bool] = lambda p: True, cost_bps: float = 20) -> DataFrame:
-    """Daily Sharpe ratio of every allowed combination, before and after the split date, and which is best before.
+    """Daily Sharpe ratio of every allowed combination before the split date, and of the best one after it.
+
+    The best is overfit where its ratio after the split is missing, negative or below half of that before.
 
     All combinations are formulas of one plan, so they share its shuffles.
     """
@@ -206,8 +211,12 @@ def grid(panel: DataFrame, name: str, choices: dict[str, list], ratio: float = 0
     moved = held.withColumn("moved", F.coalesce(F.abs(F.col("held") - F.lag("held").over(along)), F.lit(0.0)))
     daily = moved.groupBy("params", "date", "ord").agg(F.sum(F.col("held") * F.coalesce("returns", F.lit(0.0))).alias("gross"), F.sum("moved").alias("t")).withColumn("net", F.col("gross") - F.col("t") * (cost_bps / 1e4))
     dates = panel.agg(F.count_distinct("date").alias("dates"))
-    early = F.col("ord") < F.floor(F.col("dates") * ratio)
-    sharpe = lambda c: F.when(F.stddev_pop(F.when(c, F.col("net"))) > 0, F.try_divide(F.avg(F.when(c, F.col("net"))), F.stddev_pop(F.when(c, F.col("net")))) * F.sqrt(F.lit(float(TRADING_DAYS))))
-    scored = daily.crossJoin(F.broadcast(dates)).groupBy("params").agg(sharpe(early).alias("train_sharpe"), sharpe(~early).alias("test_sharpe"))
-    best = F.row_number().over(Window.orderBy(F.round("train_sharpe", 9).desc_nulls_last(), "params")) == 1
-    return scored.withColumn("best", best).withColumn("overfit", F.coalesce(F.col("test_sharpe") < F.col("train_sharpe") * 0.5, F.lit(True)))
+    split = daily.crossJoin(F.broadcast(dates)).withColumn("early", F.col("ord") < F.floor(F.col("dates") * ratio))  # one row
+    sharpe = F.when(F.stddev_pop("net") > 0, F.try_divide(F.avg("net"), F.stddev_pop("net")) * F.sqrt(F.lit(float(TRADING_DAYS))))
+    scored = split.where("early").groupBy("params").agg(sharpe.alias("train_sharpe"))
+    best = F.row_number().over(Window.orderBy(F.round("train_sharpe", 9).desc_nulls_last(), "params")) == 1  # one row a combination
+    ranked = scored.withColumn("best", best & F.col("train_sharpe").isNotNull())
+    # Only the best combination meets the rest of the dates, once.
+    held_out = split.where("not early").join(F.broadcast(ranked.where("best").select("params")), "params").groupBy("params").agg(sharpe.alias("test_sharpe"))
+    sound = (F.col("test_sharpe") >= 0) & (F.col("test_sharpe") >= F.col("train_sharpe") * 0.5)
+    return ranked.join(held_out, "params", "left").withColumn("overfit", F.when(F.col("best"), ~F.coalesce(sound, F.lit(False))))

@@ -250,23 +250,36 @@ SQL["combine_first"] = f"with {_ROWS}, b as (select code, date, max(value) as v
 
 # --- Connectors and text rules -----------------------------------------------------------
 
-_CODE = "lpad((user_id * 7919 % 700000)::varchar, 6, '0')"
+_CODE = "lpad((user_id * 7919 % 1000000)::varchar, 6, '0')"
 
 
 def coded(s, d):
-    return read_table(s, d, "events").select("event_id", F.lpad((F.col("user_id") * 7919 % 700000).cast("string"), 6, "0").alias("code"), "event_type")
+    return read_table(s, d, "events").select("event_id", F.lpad((F.col("user_id") * 7919 % 1000000).cast("string"), 6, "0").alias("code"), "event_type")
 
 
 QUERIES["exchange_suffix"] = lambda s, d: coded(s, d).select("event_id", text.with_suffix(F.col("code")).alias("bj"), text.with_suffix(F.col("code"), "SH").alias("sh"), text.is_share(F.col("code")).alias("share"))
-SQL["exchange_suffix"] = f"with c as (select event_id, {_CODE} as code from events) select event_id, code || '.' || case when code[:2] = '92' then 'BJ' when code[1] in ('6', '9') then 'SH' when code[1] in ('4', '8') then 'BJ' else 'SZ' end as bj, code || '.' || case when code[:2] = '92' then 'SH' when code[1] in ('6', '9') then 'SH' when code[1] in ('4', '8') then 'BJ' else 'SZ' end as sh, code[:2] in ('00', '30', '60', '68') as share from c"
+SQL["exchange_suffix"] = f"with c as (select event_id, {_CODE} as code from events) select event_id, code || '.' || case when code[:2] = '92' then 'BJ' when code[1] in ('6', '9') then 'SH' when code[1] in ('4', '8') then 'BJ' else 'SZ' end as bj, code || '.' || case when code[:2] = '92' then 'SH' when code[1] in ('6', '9') then 'SH' when code[1] in ('4', '8') then 'BJ' else 'SZ' end as sh, code[:2] in ('00', '30', '60', '68', '90', '92') as share from c"
 QUERIES["code_pool"] = lambda s, d: connectors.code_pool(coded(s, d))
-SQL["code_pool"] = f"select distinct {_CODE} as code from events where ({_CODE})[:2] in ('00', '30', '60', '68')"
+SQL["code_pool"] = f"select distinct {_CODE} as code from events where ({_CODE})[:2] in ('00', '30', '60', '68', '90', '92')"
 QUERIES["strict_codes"] = lambda s, d: coded(s, d).select("event_id", text.strict_code(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" "), "code", F.lit(".sz"))).when(F.col("event_id") % 4 == 1, F.concat("code", F.lit("7"))).when(F.col("event_id") % 4 == 2, "x").otherwise(F.col("code"))).alias("code"))
 SQL["strict_codes"] = f"select event_id, case when event_id % 4 in (0, 3) then {_CODE} end as code from events"
 QUERIES["special_treatment"] = lambda s, d: read_table(s, d, "part").select("p_partkey", text.is_special_treatment(F.element_at(F.array(F.lit("*st x"), F.lit("ST y"), F.lit("best"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("st"))
 SQL["special_treatment"] = "select p_partkey, p_partkey % 4 in (0, 1) as st from part"
-QUERIES["error_redaction"] = lambda s, d: read_table(s, d, "part").select("p_partkey", text.redacted(F.concat(F.lit("failed:  token="), F.col("p_partkey").cast("string"), F.lit(" Bearer abc."), F.col("p_name"))).alias("m"))
-SQL["error_redaction"] = "select p_partkey, trim(regexp_replace('failed: token=[REDACTED] Bearer [REDACTED]' || regexp_replace(p_name, '^[A-Za-z0-9._~+/=-]+', ''), '\\s+', ' ', 'g'))[:300] as m from part"
+
+
+def _messages(s, d):
+    key, name, say = F.col("p_partkey").cast("string"), F.col("p_name"), lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    said = [
+        say("auth failed; Authorization: Basic ", name, "; retry"), say("{'authorization': Token ", name, "}"), say("refresh_token=r", key, ' next  "access_token": "a ', name, ' b" done'), say("bearer abc.", key, "~x  tail\n more "),
+        say("key abcdefghij.klmnopqrst.uvw", key), say("short abcdefghij.klmn ", name), F.repeat(F.lit("word "), F.lit(80)), say("access_token: Bearer zz", key, ", x"), say("password='p ", name, "' mine", key, " [REDACTED]"),
+    ]
+    return read_table(s, d, "part").select("p_partkey", F.element_at(F.array(*said), (F.col("p_partkey") % 9 + 1).cast("int")).alias("m"))
+
+
+QUERIES["error_redaction"] = lambda s, d: _messages(s, d).select("p_partkey", text.redacted(F.col("m"), secrets=("mine7",)).alias("m"))
+SQL["error_redaction"] = """select p_partkey, case p_partkey % 9 when 0 then 'auth failed; Authorization: [REDACTED]; retry' when 1 then '{''authorization'': [REDACTED]}' when 2 then 'refresh_token=[REDACTED] next "access_token": [REDACTED] done'
+ when 3 then 'Bearer [REDACTED] tail more' when 4 then 'key [REDACTED]' when 5 then 'short abcdefghij.klmn ' || p_name when 6 then repeat('word ', 60) when 7 then 'access_token: [REDACTED], x'
+ else 'password=[REDACTED] ' || replace('mine' || p_partkey, 'mine7', '[REDACTED]') || ' [REDACTED]' end as m from part"""
 QUERIES["quarter_ends"] = lambda s, d: rounded(read_table(s, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("z")).select(F.explode(connectors.quarter_ends(F.col("a"), F.col("z"))).alias("date")))
 SQL["quarter_ends"] = "with b as (select min(o_orderdate)::date as a, max(o_orderdate)::date as z from orders), q as (select last_day((unnest(generate_series(date_trunc('quarter', a), z::timestamp, interval 3 month)) + interval 2 month)::date) as date, a, z from b) select date::varchar as date from q where date between a and z"
 QUERIES["top_liquid"] = lambda s, d: rounded(connectors.top_liquid(panels.user_day_bars(s, d), 10, 20).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("amount").alias("m")))

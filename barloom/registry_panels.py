@@ -212,8 +212,9 @@ lv as (select min(date) as live from hd where held <> 0),
 ex as (select bt.date, net, bench, net - bench as excess from bt join be using (date), lv where bt.date >= live)"""
 
 QUERIES["validation"] = lambda s, d: rounded(strategies.validate(weighted(s, d)))
-SQL["validation"] = _LIVE_SQL + f""", a as (select min(date) as live_start, pow(product(1 + net), 252.0::double / count(*)) - 1 as s, pow(product(1 + bench), 252.0::double / count(*)) - 1 as b, avg(net) * 252 / (stddev_pop(net) * sqrt(252)) as sh, avg(excess) / stddev_pop(excess) * sqrt(count(*)) as t from ex)
-select live_start::varchar as live_start, {r('s', 'strat_annual')}, {r('b', 'bench_annual')}, {r('sh', 'sharpe')}, {r('t', 't_stat')}, {r('s - b', 'excess_annual')}, case when t >= 2 then 'beats' when t <= -2 then 'trails' else 'not significant' end as verdict from a"""
+SQL["validation"] = _LIVE_SQL + f""", a as (select min(date) as live_start, pow(product(1 + net), 252.0::double / count(*)) - 1 as s, pow(product(1 + bench), 252.0::double / count(*)) - 1 as b, avg(net) * 252 / (stddev_pop(net) * sqrt(252)) as sh, avg(excess) / stddev_pop(excess) * sqrt(count(*)) as t from ex),
+fl as (select min(q / m - 1) as fall from (select q, max(q) over (order by date rows between unbounded preceding and current row) as m from (select date, product(1 + net) over (order by date rows between unbounded preceding and current row) as q from ex)))
+select live_start::varchar as live_start, {r('s', 'strat_annual')}, {r('b', 'bench_annual')}, {r('sh', 'sharpe')}, {r('t', 't_stat')}, {r('s - b', 'excess_annual')}, {r('fall', 'max_drawdown')}, case when t >= 2 then 'beats' when t <= -2 then 'trails' else 'not significant' end as verdict from a, fl"""
 QUERIES["yearly_table"] = lambda s, d: rounded(strategies.yearly(weighted(s, d)))
 SQL["yearly_table"] = _LIVE_SQL + f""", y as (select year(date)::int as year, product(1 + net) - 1 as s, product(1 + bench) - 1 as b from bt join be using (date) group by 1)
 select year, {r('s', 'strategy')}, {r('b', 'benchmark')}, {r('s - b', 'excess')} from y"""
@@ -223,8 +224,9 @@ _GRID_COMBOS = [{"fast": f, "slow": w} for f in (5, 10) for w in (20, 40)]
 SQL["parameter_grid"] = with_sql({f"w{i}": strategies.ma_cross(**c) for i, c in enumerate(_GRID_COMBOS)} | {"ret": "returns"}) + ", lg as (" + " union all ".join(f"select '{str(c).replace(chr(39), chr(39) * 2)}' as params, code, date, ord, ret, w{i} as weight from result" for i, c in enumerate(_GRID_COMBOS)) + f"""),
 hd as (select *, coalesce(lag(weight) over (partition by params, code order by date), 0) as held from lg), mv as (select *, coalesce(abs(held - lag(held) over (partition by params, code order by date)), 0) as moved from hd),
 dy as (select params, date, ord, sum(held * coalesce(ret, 0)) - sum(moved) * 0.002::double as net from mv group by all), n as (select floor(count(distinct date) * 0.6) as k from panel),
-a as (select params, avg(net) filter (ord < k) / nullif(stddev_pop(net) filter (ord < k), 0) * sqrt(252) as tr, avg(net) filter (ord >= k) / nullif(stddev_pop(net) filter (ord >= k), 0) * sqrt(252) as te from dy, n group by params)
-select params, {r('tr', 'train_sharpe')}, {r('te', 'test_sharpe')}, row_number() over (order by round(tr, 9) desc nulls last, params) = 1 as best, coalesce(te < tr * 0.5, true) as overfit from a"""
+a as (select params, avg(net) filter (ord < k) / nullif(stddev_pop(net) filter (ord < k), 0) * sqrt(252) as tr, avg(net) filter (ord >= k) / nullif(stddev_pop(net) filter (ord >= k), 0) * sqrt(252) as te from dy, n group by params),
+b as (select params from a where tr is not null order by round(tr, 9) desc, params limit 1)
+select params, {r('tr', 'train_sharpe')}, case when params in (from b) then {r('te').replace(' as te', '')} end as test_sharpe, params in (from b) as best, case when params in (from b) then te is null or te < 0 or te < 0.5 * tr end as overfit from a"""
 
 
 def notices(s, d):

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,31 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_REMEMBERED: dict[tuple, DataFrame] = {}
+
+
+def remembered(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of an application start from, written by :func:`durable` the first time.
+
+    It is built anew when one of its ``sources`` (paths) changes or its files are gone.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def stamp(path: str) -> tuple:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(conf).getFileStatus(at)
+        return path, found.getModificationTime(), found.getLen()
+
+    key = (spark.sparkContext.applicationId, checkpoint_root(spark), name, *map(stamp, sources))
+    found = _REMEMBERED.get(key)
+    if found is not None:
+        at = jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0])
+        if at.getFileSystem(conf).exists(at):
+            return found
+    _REMEMBERED[key] = durable(build(), name)
+    return _REMEMBERED[key]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

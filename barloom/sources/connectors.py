@@ -48,9 +48,25 @@ def flatten_vendor(payload: DataFrame, column: str = "tables") -> DataFrame:
     return spread.select(F.col("t.thscode").alias("thscode"), "time", F.transform_values("t.table", lambda k, v: F.get(v, F.col("i"))).alias("values"))
 
 
-def code_pool(rows: DataFrame, column: str = "code") -> DataFrame:
-    """Padded codes of supported shares, each once."""
-    return rows.select(padded_code(F.col(column)).alias("code")).where(is_share(F.col("code"))).distinct()
+def code_pool(rows: DataFrame, column: str = "code", name: str | None = None) -> DataFrame:
+    """Padded codes of supported shares, each once; with ``name`` the first name of each, in order, as ``name``."""
+    own = rows.select(padded_code(F.col(column)).alias("code"), *([F.col(name).alias("name")] if name else []))
+    kept = own.where(is_share(F.col("code")))
+    return kept.groupBy("code").agg(F.min("name").alias("name")) if name else kept.distinct()
+
+
+#: What the columns of a pool file may be called.
+POOL_NAMES = {"code": ("code", "\u4ee3\u7801"), "name": ("name", "\u540d\u79f0", "name_cn")}
+
+
+def read_code_pool(spark: SparkSession, path: str) -> DataFrame:
+    """(code, name) from a CSV (with a header) or JSON file (records), whatever its columns are called."""
+    rows = spark.read.option("multiLine", True).json(path) if path.endswith(".json") else spark.read.option("header", True).csv(path)
+    found = {want: next((c for c in rows.columns if c.strip().lower() in names), None) for want, names in POOL_NAMES.items()}
+    if not found["code"]:
+        raise ValueError(f"no column of codes in {path}")
+    named = rows.withColumnRenamed(found["code"], "code")
+    return code_pool(named, "code", found["name"] or "code")
 
 
 def wide_to_long(wide: DataFrame, keys: list[str], name: str = "code", value: str = "value") -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.portfolio import ACCOUNT_DAYS, fold_days, new_account
+from barloom.operators.portfolio import ACCOUNT_DAYS, Account, fold_days
 from barloom.session import ship_package
 
 
@@ -21,10 +22,9 @@ def account_stream(days: DataFrame, capital: float = 100_000.0, rebalance: int =
     """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else new_account(capital)
-        own, rows = fold_days(own, pd.concat(list(frames)), rebalance, cost_bps)
-        state.update((json.dumps(own),))
-        yield rows
+        own = Account(**json.loads(state.get[0])) if state.exists else Account.of(capital)
+        yield fold_days(own, pd.concat(list(frames)), rebalance, cost_bps)
+        state.update((json.dumps(asdict(own)),))
 
     ship_package(days.sparkSession)
     return days.groupBy("account").applyInPandasWithState(step, ACCOUNT_DAYS, "state string", "append", GroupStateTimeout.NoTimeout)
