@@ -321,11 +321,16 @@ def _logical(n: Node) -> bool:
     return n.op in LOGICAL
 
 
+#: Operators of one layout between two calls of ``settle``; each across a date is a sort of its own.
+SETTLED_NODES = 60
+
+
 def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``panel`` (or its columns ``keep``) with one column for each formula.
 
-    ``settle`` is applied whenever the layout changes, to the columns that are still
-    needed; a table written there keeps the plan of very many formulas short.
+    ``settle`` is applied whenever the layout changes, and after ``SETTLED_NODES`` operators
+    of one layout, to the columns that are still needed; a table written there keeps the plan
+    of very many formulas short enough for a task.
     """
     roots = {name: parse(text) for name, text in formulas.items()}
     s, df, before = _Spark(), panel, shared_levels(roots.values())
@@ -337,10 +342,13 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: list[str] | None
             s.known |= names
         return df
 
-    rounds, last = stages(roots.values()), None
+    rounds, last, since = stages(roots.values()), None, 0
+    if settle:
+        rounds = [(layout, nodes[k : k + SETTLED_NODES]) for layout, nodes in rounds for k in range(0, len(nodes), SETTLED_NODES)]
     for at, (layout, nodes) in enumerate(rounds):
-        if settle and last not in (None, layout):
-            df = settle(df.select(*_needed([n for _, later in rounds[at:] for n in later], roots.values(), s.known, keep or panel.columns)))
+        since += len(nodes)
+        if settle and last is not None and (last != layout or since > SETTLED_NODES):
+            df, since = settle(df.select(*_needed([n for _, later in rounds[at:] for n in later], roots.values(), s.known, keep or panel.columns))), len(nodes)
         last = layout
         df = share(df, [i for n in nodes for i in n.inputs()])
         inputs: dict[Node, str] = {}

@@ -27,9 +27,17 @@ formula_query("panel_vwap_lots", {"vwap": "amount / nz(volume * 100)"})
 formula_query("panel_vwap_typical", {"vwap": "(high + low + close) / 3", "amount2": "(high + low + close) / 3 * volume"})
 formula_query("returns_unfilled", {"value": "close / delay(close, 1) - 1"}, "user_day")
 
-_COMMON = (3, 6, 12, 33, 41, 42, 53, 54, 101)
-QUERIES["alphas_compute_all"] = lambda spark, d: rounded(compute_all(panels.brand_week(spark, d), list(_COMMON)))
-SQL["alphas_compute_all"] = f"with {panels.BRAND_WEEK_SQL},\n{expr.to_sql('panel', {f'alpha_{n}': FORMULAS[n] for n in _COMMON})}\n{rounded_sql([f'alpha_{n}' for n in _COMMON])}"
+#: All factors at once; number 84 on a log scale, as in its own query.
+_ALL = {f"alpha_{n}": f"sgn({f})*ln(1+abs({f}))" if n == 84 else f for n, f in FORMULAS.items()}
+
+
+def _all_alphas(s, d):
+    x = F.col("alpha_84")
+    return rounded(compute_all(panels.brand_week(s, d)).withColumn("alpha_84", F.signum(x) * F.log(1 + F.abs(x))))
+
+
+QUERIES["alphas_compute_all"] = _all_alphas
+SQL["alphas_compute_all"] = f"with {panels.BRAND_WEEK_SQL},\n{expr.to_sql('panel', _ALL)}\n{rounded_sql(list(_ALL))}"
 
 # --- Research --------------------------------------------------------------------------
 
