@@ -6,11 +6,14 @@ shuffle by (code, date); cross-sections one more by date.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.research import MAD_SCALE, bucket
+from barloom.operators.research import MAD_SCALE, bucket, ic_series, ic_stats, newey_west
 from barloom.plans.expr import RANK_DECIMALS, evaluate
+from barloom.session import durable
 
 SESSIONS = (("09:30:00", "11:30:00"), ("13:00:00", "15:00:00"))
 
@@ -105,6 +108,54 @@ def composed_score(z: DataFrame) -> DataFrame:
     return evaluate(z, {"score": f"(f_rskew + {_z('((f_cpv_mean + f_cpv_std) / 2)')} + f_smart) / 3"}, ["code", "date"])
 
 
+#: The sign of each factor, and how many calendar rows an anchor's attributes hold.
+DIRECTIONS = {"f_rskew": -1.0, "f_cpv_mean": -1.0, "f_cpv_std": -1.0, "f_smart": -1.0}
+ANCHOR_ROWS = 4
+
+
+def preprocess_panels(factors: DataFrame, pool: DataFrame, attributes: DataFrame, min_count: int = 400) -> DataFrame:
+    """(code, date, four scores): factors turned their way and neutralised inside each date's pool.
+
+    ``factors`` has code, date, ord and the four columns; ``attributes`` (date, code,
+    float_cap, industry) count from their date, the latest one for all codes, for
+    ``ANCHOR_ROWS`` rows of the calendar.  Dates with a smaller pool have no scores.
+    """
+    missing = set(DIRECTIONS) - set(factors.columns)
+    if missing:
+        raise ValueError(f"missing required factors: {', '.join(sorted(missing))}")
+    days = factors.select("date", "ord").distinct()
+    marks = days.select("date", "ord", F.lit(1).alias("day")).unionByName(attributes.select("date").distinct().select("date", F.lit(None).cast("bigint").alias("ord"), F.lit(0).alias("day")))
+    so_far = Window.orderBy("date", "day").rowsBetween(Window.unboundedPreceding, 0)  # a calendar and its anchors
+    anchored = marks.withColumn("anchor", F.max(F.when(F.col("day") == 0, F.col("date"))).over(so_far)).where("day = 1 and anchor is not null")
+    anchored = anchored.withColumn("since", F.col("ord") - F.min("ord").over(Window.partitionBy("anchor"))).where(F.col("since") <= ANCHOR_ROWS).select("date", "anchor")
+    members = factors.join(pool.select("date", "code").distinct(), ["date", "code"], "left_semi").join(F.broadcast(anchored), "date")  # one row a date
+    full = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where(F.col("n") >= min_count)
+    known = full.join(attributes.select(F.col("date").alias("anchor"), "code", "float_cap", "industry"), ["anchor", "code"], "left")
+    known = durable(known.select("code", "date", "float_cap", "industry", *[(F.col(f) * d).alias(f) for f, d in DIRECTIONS.items()]), "pool-factors")
+    out = known.select("code", "date")
+    for f in DIRECTIONS:
+        out = out.join(neutralised(known, f, min_count=min_count).withColumnRenamed("z", f), ["code", "date"], "left")
+    return out
+
+
+def evaluate_factors(panel: DataFrame, factors: dict[str, str], q: int = 5, horizon: int = 5, min_count: int = 400) -> DataFrame:
+    """A row for each factor (formula): information coefficient against open-to-open returns, its t-statistic, spread and order of buckets."""
+    rows = []
+    for name, formula in factors.items():
+        df = durable(evaluate(panel, {"factor": formula, "forward": forward_open_return(horizon)}, ["code", "date", "ord"]), "factor")
+        ic = durable(ic_series(df, min_count=min_count).where("ic is not null"), "ic")
+        cohorts = durable(quantile_cohorts(df.select("code", "date", "factor"), panel, q, horizon, min_count), "cohorts")
+        mean = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("return")))
+        spread = cohorts.agg((mean(q - 1) - mean(0)).alias("q5_q1_mean"))
+        positive = ic.agg(F.avg((F.round("ic", 12) > 0).cast("double")).alias("positive_ic_rate"))
+        t = newey_west(ic.withColumnRenamed("ic", "value")).select(F.col("t").alias("ic_nw_t"))
+        row = ic_stats(ic).drop("days")
+        for part in (positive, t, spread, monotonicity(cohorts)):
+            row = row.crossJoin(part)  # one row each
+        rows.append(row.withColumn("factor", F.lit(name)))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def forward_open_return(horizon: int = 5) -> str:
     price = "if(open > 0, finite(open), null())"
     return f"lead({price}, {horizon + 1}) / lead({price}, 1) - 1"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.expr import RANK_DECIMALS, evaluate, pct_rank
+from barloom.session import durable
 
 #: Median absolute deviation to standard deviation of a normal law.
 MAD_SCALE = 1.4826
@@ -107,6 +108,14 @@ def top_turnover(df: DataFrame, factor: str = "factor", q: int = 5) -> DataFrame
     return daily.agg(F.avg("t").alias("turnover"), F.count(F.lit(1)).alias("days"))
 
 
+def evaluate_factor(panel: DataFrame, formula: str, mask: str | None = None, q: int = 5) -> DataFrame:
+    """One row on a factor: information coefficient, long-short returns, turnover.  The formula is worked out once and written."""
+    shown = masked(formula, mask) if mask else formula
+    df = durable(evaluate(panel, {"factor": shown, "forward": FORWARD}, ["code", "date", "ord"]), "factor")
+    parts = [ic_stats(ic_series(df)), long_short_stats(quantile_returns(df, q=q), q).drop("days"), top_turnover(df, q=q).drop("days")]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
+
+
 def rolling_ic_weights(ic: DataFrame, calendar: DataFrame, window: int = 120, lag: int = 15, min_periods: int | None = None) -> DataFrame:
     """(factor, date, weight): mean of past information coefficients, late enough to be known."""
     least = max(20, window // 2) if min_periods is None else min_periods
@@ -180,6 +189,13 @@ def run_models(panel: DataFrame, models: dict[str, str]) -> DataFrame:
     return out
 
 
+def picks(panel: DataFrame, factors: list[str], mask: str | None = None, top: int = 101, names: DataFrame | None = None, model: str = "alpha101_composite") -> DataFrame:
+    """The best names of the last date by the composite of ``factors`` over names inside ``mask``, from panel to list."""
+    scored = evaluate(panel, {"score": composite_formula(factors), "inside": f"b2f({mask or liquidity_mask_formula()})"}, ["code", "date"])
+    table = pick(score_table(scored.where("inside = 1"), model), top)
+    return table if names is None else table.join(names.select(padded(F.col("code")).alias("code"), "name").dropDuplicates(["code"]), "code", "left")
+
+
 def pick(scores: DataFrame, n: int = 50) -> DataFrame:
     """The best ``n`` of the last date."""
     last = scores.agg(F.max("date").alias("date"))
@@ -197,9 +213,14 @@ def trade_signals(scores: DataFrame, positions: DataFrame, buy_top: int = 20, se
     sized = marked.crossJoin(F.broadcast(targets)).withColumn("__w", F.least(F.lit(max_weight), F.try_divide(F.lit(1.0), F.col("__n"))))
     action = F.when(F.col("__top") & (F.col("current_weight") > 0), "hold").when(F.col("__top"), "buy").when(F.col("__kept"), "hold").when(F.col("current_weight") > 0, "sell")
     reason = F.when(F.col("__top"), "top_rank").when(F.col("__kept"), "inside_sell_buffer").when(F.col("current_weight") > 0, "rank_below_sell_buffer")
-    return sized.withColumn("action", action).withColumn("reason", reason).where("action is not null").select(
-        "code", "action", "current_weight", F.when(F.col("__top") | F.col("__kept"), F.col("__w")).otherwise(0.0).alias("target_weight"), "score", "rank", "reason"
-    )
+    out = sized.withColumn("action", action).withColumn("reason", reason).where("action is not null")
+    # Positions without a score take the scores' date and model, and their code as a name.
+    told = [c for c in ("date", "model") if c in scores.columns]
+    if told:
+        one = scores.agg(*[F.max(c).alias(f"__{c}") for c in told])
+        out = out.crossJoin(F.broadcast(one)).select("*", *[F.col(f"__{c}").alias(f"__its_{c}") for c in told])  # one row
+    columns = [F.col(f"__its_{c}").alias(c) for c in told] + [F.col("code"), F.coalesce("name", "code").alias("name") if "name" in scores.columns else F.col("code").alias("name")]
+    return out.select(*columns, "action", "current_weight", F.when(F.col("__top") | F.col("__kept"), F.col("__w")).otherwise(0.0).alias("target_weight"), "score", "rank", "reason")
 
 
 def newey_west(series: DataFrame, value: str = "value", order: str = "date", lags: int = 4) -> DataFrame:

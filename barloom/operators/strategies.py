@@ -7,6 +7,7 @@ The rule-based strategies are formulas over the panel; weights change on every
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -194,7 +195,7 @@ def yearly(weighted: DataFrame, cost_bps: float = 20) -> DataFrame:
     return table.withColumn("excess", F.col("strategy") - F.col("benchmark"))
 
 
-def grid(panel: DataFrame, name: str, choices: dict[str, list], ratio: float = 0.6, allowed: Callable[[dict], bool] = lambda p: True, cost_bps: float = 20) -> DataFrame:
+def grid(panel: DataFrame, name: str, choices: dict[str, list], ratio: float = 0.6, allowed: Callable[[dict], bool] = lambda p: True, cost_bps: float = 20, weigh: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Daily Sharpe ratio of every allowed combination before the split date, and of the best one after it.
 
     The best is overfit where its ratio after the split is missing, negative or below half of that before.
@@ -204,8 +205,17 @@ def grid(panel: DataFrame, name: str, choices: dict[str, list], ratio: float = 0
     combos = [c for c in (dict(zip(choices, v, strict=True)) for v in product(*choices.values())) if allowed(c)]
     if not combos:
         raise ValueError("no combination is allowed")
+    if weigh:
+        base = panel.select("code", "date", "ord", "returns")
+        long = reduce(DataFrame.unionByName, [base.join(weigh(**c), ["code", "date"]).withColumn("params", F.lit(str(c))) for c in combos])
+        return _scored(panel, long, ratio, cost_bps)
     many = evaluate(panel, {f"w{i}": FORMULAS[name](**c) for i, c in enumerate(combos)}, ["code", "date", "ord", "returns"])
     long = many.select("code", "date", "ord", "returns", F.explode(F.array(*[F.struct(F.lit(str(c)).alias("params"), F.col(f"w{i}").alias("weight")) for i, c in enumerate(combos)])).alias("x")).select("code", "date", "ord", "returns", "x.*")
+    return _scored(panel, long, ratio, cost_bps)
+
+
+def _scored(panel: DataFrame, long: DataFrame, ratio: float, cost_bps: float) -> DataFrame:
+    """The table of :func:`grid` from the weights of every combination, one below the other."""
     along = Window.partitionBy("params", "code").orderBy("date")
     held = long.withColumn("held", F.coalesce(F.lag("weight").over(along), F.lit(0.0)))
     moved = held.withColumn("moved", F.coalesce(F.abs(F.col("held") - F.lag("held").over(along)), F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import text
-from barloom.operators import intraday, learned, portfolio, research, snapshot, strategies
+from barloom.operators import intraday, learned, portfolio, signals, snapshot, strategies
 from barloom.plans import expr
 from barloom.queries import PANELS, QUERIES, SQL, rounded, rounded_sql
 from barloom.registry_panels import _FF, BACKTEST_SQL, _ff, r, weighted, with_sql
@@ -136,16 +136,16 @@ select code, date::varchar as date, case when no then true when not one then fal
  case when no then true when not one then false when c >= b * 1.045::double - 1e-12 then false when c <= b * 0.955::double + 1e-12 then true else true end as sell_blocked from q"""
 
 
-def simulated(s, d):
+def simulated_inputs(s, d):
     panel = panels.brand_week(s, d)
     tg = targets(s, d)
     bench = intraday.benchmark_targets(intraday.dynamic_universe(panel, 20).where("eligible").select("date", "code"), tg)
     both = tg.select(F.lit("strategy").alias("portfolio"), "date", "code", "weight").unionByName(bench.select(F.lit("benchmark").alias("portfolio"), "date", "code", "weight"))
     limits = intraday.price_limits(panel.select("code", "date", "open", "high", "low", "close"))
-    return portfolio.simulate(both, panel.select("code", "date", "ord", "open"), limits)
+    return both, panel.select("code", "date", "ord", "open"), limits
 
 
-QUERIES["simulate"] = lambda s, d: rounded(simulated(s, d))
+QUERIES["simulate"] = lambda s, d: rounded(portfolio.simulate(*simulated_inputs(s, d)))
 
 
 def _metrics(s, d):
@@ -319,47 +319,22 @@ _CAND_SQL = with_sql(_CAND, "user_day", "code, date") + """, ca as (select code,
 att as (select code, rise, now / past - 1 as momentum, float_a / shares as ratio from ca where name not ilike '*st%' and name not ilike 'st%' and age >= 5 and now > 0 and past > 0 and float_a / shares <= 1)"""
 
 
-def attention(c):
-    every = Window.partitionBy(F.lit(1))  # at most one row a candidate of one day
-    f = c.where(~text.is_special_treatment(F.col("name")) & (F.col("age") >= 5) & (F.col("now") > 0) & (F.col("past") > 0) & (F.col("float_a") / F.col("shares") <= 1)).select("code", "rise", (F.col("now") / F.col("past") - 1).alias("momentum"), (F.col("float_a") / F.col("shares")).alias("ratio"))
-    pct = lambda x, desc=False: expr.pct_rank(F.round(x, 9), every.orderBy(F.round(x, 9).desc() if desc else F.round(x, 9)), every)
-    return f.select("*", pct("rise").alias("p1"), pct("momentum").alias("p2"), pct("ratio", True).alias("p3"))
-
-
-def attention_weighted(c, top: int = 20):
-    s = 0.5 * F.col("p1") + 0.3 * F.col("p2") + 0.2 * F.col("p3")
-    return attention(c).withColumn("score", s).orderBy(F.round("score", 9).desc(), F.col("rise").desc(), "code").limit(min(top, 20)).select("code", "score")
-
-
-def attention_funnel(c, top: int = 20):
-    up = attention(c).where("momentum > 0")
-    every = Window.partitionBy(F.lit(1))
-    low = up.withColumn("r", F.row_number().over(every.orderBy(F.round("ratio", 9), "code"))).withColumn("n", F.count(F.lit(1)).over(every)).where(F.col("r") <= F.ceil(F.col("n") / 2))
-    return low.orderBy(F.col("rise").desc(), "code").limit(min(top, 20)).select("code", F.col("rise").alias("score"))
-
-
-QUERIES["attention_weighted"] = lambda s, d: rounded(attention_weighted(candidates(s, d)))
+QUERIES["attention_weighted"] = lambda s, d: rounded(signals.attention_weighted(candidates(s, d)))
 _PCT = "(rank() over (order by round({c}, 9) {w}) + (count(*) over (partition by round({c}, 9)) - 1) / 2.0)::double / count(*) over ()"
 SQL["attention_weighted"] = _CAND_SQL + f", sc as (select code, rise, 0.5::double * {_PCT.format(c='rise', w='')} + 0.3::double * {_PCT.format(c='momentum', w='')} + 0.2::double * {_PCT.format(c='ratio', w='desc')} as score from att) select code, {r('score')} from (select * from sc order by round(score, 9) desc, rise desc, code limit 20)"
-QUERIES["attention_funnel"] = lambda s, d: rounded(attention_funnel(candidates(s, d)))
+QUERIES["attention_funnel"] = lambda s, d: rounded(signals.attention_funnel(candidates(s, d)))
 SQL["attention_funnel"] = _CAND_SQL + f", lo as (select *, row_number() over (order by round(ratio, 9), code) as k, count(*) over () as n from att where momentum > 0) select code, {r('rise', 'score')} from (select * from lo where k <= ceil(n / 2.0) order by rise desc, code limit 20)"
-QUERIES["heat_signal"] = lambda s, d: rounded(
-    read_table(s, d, "events").select(text.extracted_ticker(F.concat(F.lit("x"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(".SZ"))).alias("ticker"), "value").groupBy("ticker").agg(F.max("value").alias("factor_value"))
-    .orderBy(F.col("factor_value").desc(), "ticker").limit(20)
-)
+QUERIES["heat_signal"] = lambda s, d: rounded(signals.heat(read_table(s, d, "events").select(F.concat(F.lit("x"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit(".SZ")).alias("code"), "value")))
 SQL["heat_signal"] = f"select ticker, {r('factor_value')} from (select lpad(user_id::varchar, 6, '0') as ticker, max(value) as factor_value from events group by 1 order by 2 desc, 1 limit 20)"
-QUERIES["today_score"] = lambda s, d: rounded(_today(s, d))
-
-
 def _today(s, d):
-    f = expr.evaluate(panels.brand_week(s, d), {"alpha": "(close - open) / (high - low + 0.001)", "ok": "b2f(high > low)"}, ["code", "date"])
-    day = f.where("ok = 1").agg(F.max("date").alias("date"))
-    every = Window.partitionBy(F.lit(1))
-    one = f.where("ok = 1").join(F.broadcast(day), "date")
-    return one.select("code", "alpha", F.round(expr.pct_rank(F.round("alpha", 9), every.orderBy(F.round("alpha", 9)), every) * 100, 2).alias("score")).orderBy(F.col("score").desc(), F.col("alpha").desc(), "code").limit(10)
+    """The last week in which a brand's price moved, as a vendor would send it."""
+    p = panels.brand_week(s, d).where("high > low")
+    one = p.join(F.broadcast(p.agg(F.max("date").alias("date"))), "date")  # one row
+    return signals.normalised_spot(one.select(F.col("code").alias("name"), F.concat(F.lpad(F.regexp_extract("code", r"(\d+)$", 1), 6, "0"), F.lit(".SZ")).alias("thscode"), "open", "high", "low", F.col("close").alias("latest")))
 
 
-SQL["today_score"] = with_sql({"alpha": "(close - open) / (high - low + 0.001)", "ok": "b2f(high > low)"}, keep="code, date") + f", o as (select * from result where ok = 1 and date = (select max(date) from result where ok = 1)), s as (select code, alpha, round({_PCT.format(c='alpha', w='')} * 100, 2) as score from o) select code, {r('alpha')}, {r('score')} from (select * from s order by score desc, alpha desc, code limit 10)"
+QUERIES["today_score"] = lambda s, d: rounded(signals.score_today(_today(s, d), 10).select("rank", "code", "name", F.col("alpha101").alias("alpha"), "score"))
+SQL["today_score"] = with_sql({"alpha": "(close - open) / (high - low + 0.001)", "ok": "b2f(high > low)"}, keep="code, date") + f", o as (select * from result where ok = 1 and date = (select max(date) from result where ok = 1)), s as (select lpad(regexp_extract(code, '(\\d+)$', 1), 6, '0') as code, code as name, alpha, round({_PCT.format(c='alpha', w='')} * 100, 2) as score from o) select (row_number() over (order by score desc, alpha desc, code))::int as rank, code, name, {r('alpha')}, {r('score')} from s order by rank limit 10"
 
 # --- Learned strategies, and streams -----------------------------------------------------
 

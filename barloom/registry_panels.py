@@ -89,9 +89,7 @@ h as (select ord, code, row_number() over (partition by date order by round(fact
 t as (select ord, code from h where n >= 5 and r <= greatest(1, n // 5)),
 c as (select t.ord, sum(case when p.code is null then 1 else 0 end) / count(*)::double as t from t left join t p on p.code = t.code and p.ord + 1 = t.ord where t.ord > 0 group by t.ord)
 select {r('avg(t)', 'turnover')}, count(*) as days from c"""
-QUERIES["factor_evaluation"] = lambda s, d: rounded(
-    research.ic_stats(research.ic_series(_ff(s, d))).crossJoin(research.long_short_stats(research.quantile_returns(_ff(s, d))).drop("days")).crossJoin(research.top_turnover(_ff(s, d)).drop("days"))
-)
+QUERIES["factor_evaluation"] = lambda s, d: rounded(research.evaluate_factor(panels.brand_week(s, d), _FF["factor"]))
 SQL["factor_evaluation"] = with_sql(_FF) + _IC_SQL + _Q_SQL.replace(_PAIR_SQL, "") + f""", ls as (select date, max(mean_return) filter (bucket = 4) - max(mean_return) filter (bucket = 0) as ls from q group by date),
 h as (select ord, code, row_number() over (partition by date order by round(factor, 9) desc, code) as r, count(*) over (partition by date) as n from result where factor is not null),
 t as (select ord, code from h where n >= 5 and r <= greatest(1, n // 5)),
@@ -160,7 +158,7 @@ SQL["trade_signals"] = _SCORE_SQL + f""", l as (select code, score, rank from sc
 h as (select code, 0.04::double as w from l where rank between 4 and 18 union all select 'gone00', 0.03),
 m as (select coalesce(l.code, h.code) as code, coalesce(w, 0) as w, score, rank, coalesce(rank <= 5, false) as top, h.code is not null and not coalesce(rank <= 5, false) and coalesce(rank <= 15, false) as kept from l full join h on l.code = h.code),
 n as (select count(*) filter (top or kept) as n from m)
-select code, case when top and w > 0 then 'hold' when top then 'buy' when kept then 'hold' else 'sell' end as action, {r('w', 'current_weight')}, {r('case when top or kept then least(0.05, 1.0::double / n) else 0 end', 'target_weight')}, {r('score')}, coalesce(rank, -1)::int as rank,
+select (select max(date) from sc)::varchar as date, 'composite' as model, code, code as name, case when top and w > 0 then 'hold' when top then 'buy' when kept then 'hold' else 'sell' end as action, {r('w', 'current_weight')}, {r('case when top or kept then least(0.05, 1.0::double / n) else 0 end', 'target_weight')}, {r('score')}, coalesce(rank, -1)::int as rank,
  case when top then 'top_rank' when kept then 'inside_sell_buffer' else 'rank_below_sell_buffer' end as reason from m, n where top or kept or w > 0"""
 
 _FUND = {"announce": "date", "eps": "value % 7 - 3", "bvps": "value / 10", "roe": "value % 13", "ocfps": "value % 5 - 2", "gross_margin": "value % 31", "rev_yoy": "value % 17 - 8", "profit_yoy": "value % 19 - 9"}
@@ -199,6 +197,10 @@ for _name, _f in _STRATEGIES.items():
 _BT = {"weight": strategies.momentum(5), "ret": "returns / 100"}
 
 
+def weighted_panel(s, d):
+    return panels.brand_week(s, d).withColumn("returns", F.col("returns") / 100)
+
+
 def weighted(s, d, name="momentum", **p):
     """Returns of these prices are wild; a hundredth of them keeps totals in range."""
     return strategies.weights(panels.brand_week(s, d), name, **(p or {"top_n": 5})).withColumn("returns", F.col("returns") / 100)
