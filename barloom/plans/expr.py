@@ -219,7 +219,8 @@ class _Spark:
         if op == "/":
             return safe_div(a[0], a[1])
         if op == "pow":
-            return F.pow(a[0], a[1])
+            # As floating point has it: one to any power, and anything to the power of zero, are one, missing or not.
+            return F.pow(a[0], a[1]) if n.args[1].op == "const" else F.when((a[0] == 1) | (a[1] == 0), F.lit(1.0)).otherwise(F.pow(a[0], a[1]))
         if op == "neg":
             return -a[0]
         if op in ("<", ">", "<=", ">=", "==", "!="):
@@ -423,7 +424,7 @@ class _Sql:
         if op in ("or", "and"):
             return f"({yes(a[0])} {op} {yes(a[1])})"
         return {
-            "pow": lambda: f"pow({a[0]}, {a[1]})", "not": lambda: f"(not {yes(a[0])})", "isnull": lambda: f"({self.clear(a[0])} is null)",
+            "pow": lambda: f"pow({a[0]}, {a[1]})" if n.args[1].op == "const" else f"(case when {a[0]} = 1 or {a[1]} = 0 then 1.0::double else pow({a[0]}, {a[1]}) end)", "not": lambda: f"(not {yes(a[0])})", "isnull": lambda: f"({self.clear(a[0])} is null)",
             "iff": lambda: f"(case when {yes(a[0])} then {a[1]} else {a[2]} end)", "b2f": lambda: f"({yes(a[0])}::int::double)",
             "abs": lambda: f"abs({a[0]})", "ln": lambda: f"(case when {self.clear(a[0])} > 0 then ln({a[0]}) when {a[0]} = 0 then '-inf'::double end)",
             "sgn": lambda: f"(sign({a[0]})::double)", "sqrt": lambda: f"(case when {a[0]} >= 0 then sqrt({a[0]}) end)", "exp": lambda: f"exp({a[0]})",
