@@ -49,6 +49,8 @@ from barloom.session import ship_package
 #: At most so many positives and so many unlabelled rows are gathered for training.
 SAMPLE = 5_000
 THRESHOLD = 0.3
+#: Added to a feature's deviation, so that one that hardly any text has doesn't decide alone: shares are below 1.
+FLOOR = 0.1
 FOLDS = 5
 
 # Byte classes: 0 lower, 1 upper, 2 digit, 3 space, 4 line feed, 5 full stop and comma, 6 other ASCII mark, 7 the rest.
@@ -105,7 +107,7 @@ def risk_step(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, floa
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-2) -> Model:
     """Full-batch Adam on the non-negative risk; no random numbers."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    mean, scale = both.mean(0), both.std(0) + FLOOR
     p, u = (np.clip((a - mean) / scale, -6, 6) for a in (positive.astype(np.float64), unlabelled.astype(np.float64)))
     x = np.zeros(p.shape[1] + 1)
     m, v, late = (np.zeros_like(x) for _ in range(3))

@@ -259,7 +259,9 @@ def test_prior_and_separation(share):
     assert -0.08 < prior - share < 0.02  # a standard error low, so that the rest of the risk isn't forced below zero
     m = quality.train(p, u, prior)
     s = m.score(np.concatenate([draw(500, 1.5), draw(500, -1.5)]))
-    assert ((s[:500] >= quality.THRESHOLD).mean() + (s[500:] < quality.THRESHOLD).mean()) / 2 > 0.97
+    assert (s[:500][:, None] > s[500:][None]).mean() > 0.999
+    # With few negatives among the unlabelled rows their scores come less far down.
+    assert ((s[:500] >= quality.THRESHOLD).mean() + (s[500:] < quality.THRESHOLD).mean()) / 2 > (0.97 if share < 0.9 else 0.94)
 
 
 def test_quality_on_the_test_tables():
