@@ -26,12 +26,16 @@ def in_session(time: str, sessions: tuple[tuple[str, str], ...] = SESSIONS):
     return out
 
 
+def usable_minutes(bars: DataFrame, sessions: tuple[tuple[str, str], ...] = SESSIONS) -> DataFrame:
+    """Rows inside the sessions, finite, price above zero, no negative size; all rows of a time."""
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return bars.where(in_session("time", sessions) & good("close") & good("volume") & good("amount") & (F.col("close") > 0) & (F.col("volume") >= 0) & (F.col("amount") >= 0))
+
+
 def clean_minutes(bars: DataFrame, sessions: tuple[tuple[str, str], ...] = SESSIONS) -> DataFrame:
-    """Last row of each (code, time) by ``seq``; then inside the sessions, finite, price above zero, no negative size."""
+    """Last row of each (code, time) by ``seq``; then those that :func:`usable_minutes` keeps."""
     last = Window.partitionBy("code", "time").orderBy(F.col("seq").desc())
-    one = bars.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
-    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-    return one.where(in_session("time", sessions) & good("close") & good("volume") & good("amount") & (F.col("close") > 0) & (F.col("volume") >= 0) & (F.col("amount") >= 0))
+    return usable_minutes(bars.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r"), sessions)
 
 
 def minute_quality(cleaned: DataFrame, seen: DataFrame, daily: DataFrame, min_rows: int = 200, min_trades: int = 30, tolerance: float = 0.02) -> DataFrame:

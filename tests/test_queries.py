@@ -47,6 +47,19 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == rows
 
 
+def test_events_of_one_time_count_in_the_quality(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    con.execute(f"create table events as select event_id * 3 + k as event_id, ts, user_id, event_type, value + k as value, props from '{DATA}/events.parquet', range(3) t(k)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = QUERIES["minute_quality"](spark, str(tmp_path))
+    want = con.execute(SQL["minute_quality"])
+    columns = [d[0] for d in want.description]
+    rows = sorted(tuple(plain(v) for v in r) for r in want.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == rows
+    assert sum(float(r[columns.index("minute_count")]) for r in rows) > con.execute("select count(distinct (event_type, ts)) from events").fetchone()[0]
+
+
 def test_every_query_is_registered(spark):
     assert set(SQL) <= set(QUERIES) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
