@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.components import connected_components
 from barloom.llm.workspace import settle, tidy
-from barloom.session import durable, ship_package
+from barloom.session import durable, release, ship_package
 
 VECTOR = 32
 #: Sets under this size are keyed by prefix, others by groups.
@@ -59,9 +59,9 @@ SPARE = 3
 BLOCK_BYTES = 24_000_000
 #: Keys of representatives are broadcast up to this many (16 bytes each).
 BROADCAST_KEYS = 4_000_000
-#: Texts that set the order of shingles, and shingles that are broadcast for it (9 bytes each).
-ORDER_TEXTS = 16_384
-ORDER_SHINGLES = 2_000_000
+#: Passes over the texts in which shingles are counted, so that a pass shuffles a part of them, and texts that a task cuts at a time.
+SLICES = 3
+ORDER_TEXTS = 2_048
 #: Keys of up to so many classes give pairs; larger ones are chained and searched.
 PAIRED = 64
 LEAF = 32
@@ -177,7 +177,7 @@ def keys_of(h: np.ndarray, rule: Rule = OP9) -> np.ndarray:
 
 
 def prefix_of(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], rule: Rule) -> np.ndarray:
-    """The keys of a set by prefix: its first shingles, ``common`` (sorted hashes, ranks) last."""
+    """The keys of a set by prefix, ``common`` shingles (sorted hashes, ranks) last: what ``_prefixes`` finds for one set."""
     if len(h) < rule.least:
         return np.empty(0, _U)
     hashes, ranks = common
@@ -193,6 +193,11 @@ def class_of(h: np.ndarray) -> bytes:
     return np.array([_mix(h + _K[0]).sum(dtype=_U), _mix(h ^ _K[2]).sum(dtype=_U) + _U(len(h))], _U).tobytes()
 
 
+def short_of(h: np.ndarray, rule: Rule) -> np.ndarray:
+    """64 bits that stand for a set; none, if it is too small to link with another."""
+    return np.frombuffer(class_of(h), _U, 1) if len(h) >= rule.least else np.empty(0, _U)
+
+
 def vector_of(h: np.ndarray) -> np.ndarray:
     return np.bincount((h & _U(VECTOR - 1)).astype(np.int64), minlength=VECTOR).astype(np.int32)
 
@@ -269,8 +274,8 @@ def _arrow(df: DataFrame, schema: str, f) -> DataFrame:
     return df.mapInArrow(tidy("ngram_join", f), schema)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, rule: Rule = OP9, common=None) -> DataFrame:
-    """(id, text_key, n, class, keys) of every row; keys are prefixes where a broadcast of common shingles is given."""
+def describe(docs: DataFrame, id_col: str, text_col: str, rule: Rule = OP9) -> DataFrame:
+    """(id, text_key, n, class, keys) of every row; for a rule without groups, keys has the short name of a set that can link, and no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +284,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, rule: Rule = OP9, comm
                 h = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", rule)
                 n.append(len(h))
                 classes.append(class_of(h) if len(h) else None)
-                keys.append((keys_of(h, rule) if common is None else prefix_of(h, common.value, rule)).view(np.int64))
+                keys.append((keys_of(h, rule) if rule.grouped else short_of(h, rule)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), lists], names=["id", "text_key", "n", "class", "keys"])
@@ -359,38 +364,60 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v")
 
 
-def _common(docs: DataFrame, text_col: str, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of ``ORDER_TEXTS`` sampled texts have, and the binary logarithm of their number.
-
-    They only set the order of shingles; any order gives every link.
-    """
-    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else texts
+def _counted(docs: DataFrame, text_col: str, rule: Rule, part: int) -> DataFrame:
+    """(short, key, sets) of the shingles of a slice that several sets have, with their exact number of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes(), rule) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, _U), *sets]).view(np.int64))], names=["h"])
+            for at in range(0, b.num_rows, ORDER_TEXTS):
+                shorts, keys = [np.empty(0, _U)], [np.empty(0, _U)]
+                for t in b.column(0).slice(at, ORDER_TEXTS):
+                    h = shingle_set(t.as_buffer().to_pybytes(), rule)
+                    for short in short_of(h, rule).tolist():
+                        if short not in seen:
+                            seen.add(short)
+                            keys.append(h[h % _U(SLICES) == _U(part)])
+                            shorts.append(np.full(len(keys[-1]), short, _U))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (shorts, keys)], names=["short", "key"])
+
+    cut = _arrow(docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()), "short long, key long", run)
+    under = Window.partitionBy("key")
+    once = cut.withColumn("before", F.lag("short").over(under.orderBy("short"))).where("before is null or before <> short")  # a set may come from several tasks
+    return once.select("short", "key", F.count(F.lit(1)).over(under).alias("sets")).where("sets > 1")
 
-    counted = _arrow(drawn, "h long", run).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    found = counted.orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toArrow()
-    hashes = found["h"].to_numpy().view(_U)
-    turn = np.argsort(hashes)
-    return hashes[turn], np.log2(np.maximum(found["c"].to_numpy(), 1)).astype(np.int8)[turn]
+
+def _prefixes(docs: DataFrame, text_col: str, rows: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n, key): the shingles in the prefix of each class that another class has too.
+
+    The order of shingles is by their number of sets, over all documents, then by hash.  Those of one
+    set come first and meet nothing, so only shared ones are shuffled by class.
+    """
+    slices = [durable(_counted(docs, text_col, rule, part), "shared") for part in range(SLICES)]
+    shared = slices[0]
+    for more in slices[1:]:
+        shared = shared.union(more)
+    own = Window.partitionBy("short")
+    ranked = shared.withColumn("turn", F.row_number().over(own.orderBy("sets", "key"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    classes = rows.where(F.size("keys") > 0).dropDuplicates(["class"]).select("class", "n", F.col("keys")[0].alias("short"))
+    # The prefix ends where fewer shingles are left than a partner must share.
+    found = ranked.join(classes, "short").where(f"shared - turn + 1 >= floor(({rule.percent} * n + 99) / 100)")
+    found = durable(found.select("class", "n", "key"), "prefixes")
+    for used in slices:
+        release(used)
+    return found
 
 
 def _link_by_prefix(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """As :func:`link_documents`, for similarities at which groups hold too few shingles.
 
-    Sets meet under the prefix of their rarest shingles.  Under a key of up to ``PAIRED`` classes
+    Sets meet under the prefix of their rarest shingles, which are counted over all documents.  Under a key of up to ``PAIRED`` classes
     all pairs are counted; of two linked sets, the one whose prefix ends first has there all but
     the shingles that it may have alone, so pairs that share fewer keys go.  Larger keys are joined by
     chains and searched as parts.
     """
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, rule))
-    rows = durable(describe(docs, id_col, text_col, rule, common), "rows")
-    classes = rows.where(F.size("keys") > 0).dropDuplicates(["class"]).select("class", "n", F.explode("keys").alias("key"))
+    rows = durable(describe(docs, id_col, text_col, rule), "rows")
+    classes = _prefixes(docs, text_col, rows, rule)
     under = Window.partitionBy("key")
     met = classes.withColumn("size", F.count(F.lit(1)).over(under)).withColumn("before", F.lag("class").over(under.orderBy("class"))).where("size > 1")
     met = durable(met, "met")

@@ -166,6 +166,29 @@ def test_near_duplicates_of_five_words_brute_force(spark, rng, monkeypatch, pair
     assert sorted(r.doc_id for r in dict(corpus_stages())["n-gram Jaccard join"](spark, near, "").collect()) == [1, 3]
 
 
+def test_prefixes_are_of_exact_counts(spark, rng):
+    """A shingle of one set is no key, and the others are counted over all documents: those that a sample misses too."""
+    rule = ngram_join.Rule(5, 80)
+    base = [words(rng, 60, 10**6) for _ in range(30)]
+    often = words(rng, 12, 10**6)
+    texts = [b + " " + often for b in base] + [edited(rng, base[0], 1) + " " + often, base[1].upper() + " " + often, "a b", None] + [words(rng, 40, 10**6) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = {}
+    for t in texts:
+        h = ngram_join.shingle_set((t or "").encode(), rule)
+        if len(h) >= rule.least:
+            sets[ngram_join.class_of(h)] = h
+    hashes, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    number = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+    want = []
+    for name, h in sets.items():
+        first = sorted(h.view(np.int64).tolist(), key=lambda x: (number[x % 2**64], x))[: rule.prefix(len(h))]
+        want += [(name, len(h), x) for x in first if number[x % 2**64] > 1]
+    rows = ngram_join.describe(df, "doc_id", "text", rule)
+    got = [(bytes(r["class"]), r.n, r.key) for r in ngram_join._prefixes(df, "text", rows, rule).collect()]
+    assert sorted(got) == sorted(want) and len({name for name, _, _ in got}) == 2
+
+
 def corpus_stages():
     return pytest.importorskip("corpus_pipeline").STAGES
 
