@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -50,6 +51,19 @@ def test_bpe_caches_stay_bounded(model, monkeypatch, rng):
     assert len(own.cache) <= 10 and len(own.older) <= 10 and len(own.compatible) <= 10
 
 
+def test_kept_runs_are_small(model):
+    """Both generations, full, of runs of some ten letters take less than 60 MB of a worker."""
+    own = sp_bpe.BpeCodec(model)
+    text = " ".join(f"w{i}x{i * 7919 % 10007}" for i in range(20_000))
+    want = own.digest(text)
+    own.cache, own.older = {}, {}  # the pairs of pieces stay
+    tracemalloc.start()
+    assert own.digest(text) == want
+    kept = tracemalloc.get_traced_memory()[0] / len(own.cache)
+    tracemalloc.stop()
+    assert 2 * sp_bpe.CACHE * kept < 60e6, kept
+
+
 def test_bpe_operators(spark, awkward, empty, model):
     own = sp_bpe.codec(model)
     ids = sp_bpe.encode_texts(awkward.withColumnRenamed("kept", "ids"), model)
