@@ -421,6 +421,7 @@ def _link_by_prefix(docs: DataFrame, id_col: str, text_col: str, rule: Rule) ->
     under = Window.partitionBy("key")
     met = classes.withColumn("size", F.count(F.lit(1)).over(under)).withColumn("before", F.lag("class").over(under.orderBy("class"))).where("size > 1")
     met = durable(met, "met")
+    release(classes)
     if met.isEmpty():
         return _named(rows, None)
 
@@ -435,9 +436,11 @@ def _link_by_prefix(docs: DataFrame, id_col: str, text_col: str, rule: Rule) ->
     both = F.floor((rule.percent * (F.col("nu") + F.col("nv")) + rule.total - 1) / rule.total)
     must = lambda n: F.floor((rule.apart * n) / 100) + 1 - (n - both)
     pairs = pairs.where(F.col("shared") + F.least(F.coalesce("more_u", F.lit(0)), F.coalesce("more_v", F.lit(0))) >= F.least(must(F.col("nu")), must(F.col("nv"))))
-    pairs = durable(pairs.select("u", "v", "shared"), "pairs")
+    pairs = kept = durable(pairs.select("u", "v", "shared"), "pairs")
     chains = large.where("before is not null").groupBy(F.col("class").alias("u"), F.col("before").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
     chains = durable(chains, "chains")
+    release(met)
+    release(under_large)
     near = pairs.unionByName(chains)
     sets = _sets_of(docs, text_col, rows, near.select(F.col("u").alias("class")).union(near.select("v")).distinct(), rule)
 
@@ -452,7 +455,10 @@ def _link_by_prefix(docs: DataFrame, id_col: str, text_col: str, rule: Rule) ->
         parts = durable(connected_components(chains.select("u", "v")), "parts")
         joined = connected_components(first).select(F.col("node").alias("class"), "component")
         first = first.union(_search_parts(sets, parts, joined, rule))
-    return _named(rows, connected_components(first))
+    components = connected_components(first)
+    for used in (sets, kept, chains):
+        release(used)
+    return _named(rows, components)
 
 
 def _search_parts(sets: DataFrame, parts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from barloom import session
 from barloom.llm import ngram_join, suffix_dedup
 from barloom.llm.components import connected_components
 from tests.llm.conftest import AWKWARD, words
@@ -214,6 +215,19 @@ def test_every_link_shares_a_key_at_any_similarity(percent):
             assert (gone == new == 0) or len(p & q) >= max(1, min(rule.prefix(len(x)) - (len(x) - both) for x in (a, b)))
 
 
+@pytest.mark.parametrize("paired", [64, 1])
+def test_near_duplicates_of_five_words_leave_no_sets(spark, rng, monkeypatch, tmp_path, paired):
+    """Tables as large as shingles or sets are gone when the links are known; the rows and the components are left."""
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: f"file://{tmp_path}")
+    base = words(rng, 200, 10**6)
+    df = spark.createDataFrame([(i, f"{base} {words(rng, i, 10**6)}") for i in range(1, 6)] + [(9, words(rng, 50, 10**6))], "doc_id long, text string")
+    linked = ngram_join.link_documents(df, rule=ngram_join.Rule(5, 80))
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "barloom").iterdir()}
+    assert "rows" in left and not left & {"shared", "prefixes", "met", "pairs", "chains", "under-large", "sets"}
+    assert sorted((r.id, r.component_id) for r in linked.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (9, 9)]
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert ngram_join.link_documents(empty).count() == 0 and ngram_join.drop_near_duplicates(empty).count() == 0
     few = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A")], "doc_id long, text string")
